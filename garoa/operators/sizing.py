@@ -17,16 +17,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def hint_if_small(kept: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a narrow table is counted at no more than ``max_rows``.
 
     The planner guesses the size of an aggregate or a join from its inputs, so a
     handful of rows reduced from a huge grid would otherwise be shuffle-joined.
-    Above the bound the plain join stays and the planner picks its strategy.
+    The table is kept so that the count adds no second pass. Above the bound the
+    plain join stays and the planner picks its strategy.
     """
+    kept = keep(df)
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``hint_if_small`` on a table kept so that the count adds no second pass."""
-    return hint_if_small(keep(df), max_rows)

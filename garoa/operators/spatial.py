@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
 from garoa.functions import numeric as N
-from garoa.operators.sizing import hint_if_small, keep
+from garoa.operators.sizing import keep
 
 LEAF_CELLS = 16
 BRANCH_CELLS = 256
@@ -137,8 +137,10 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
         top.alias("tops"),
     )
     in_branch = _branch(targets, "tops").withColumnsRenamed({"ty": "by", "tx": "bx"})
-    inner = hint_if_small(branches.select("by", "bx", "leaves"), BROADCAST_LEAVES)
-    outer = hint_if_small(leaves.select("ty", "tx", "cells"), BROADCAST_LEAVES)
+    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    inner, outer = branches.select("by", "bx", "leaves"), leaves.select("ty", "tx", "cells")
+    if small:
+        inner, outer = F.broadcast(inner), F.broadcast(outer)
     in_leaf = _branch(in_branch.join(inner, ["by", "bx"]), "leaves")
 
     def candidate(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.functions import text as X
 from garoa.operators import rain, spatial
+from garoa.operators.sizing import broadcast_if_small, keep
 from garoa.params import BBox, RainParams
 from garoa.schemas import RESULT_INDEX
 
@@ -39,10 +40,17 @@ def index_grid(
     params: RainParams,
     execucao_id: Column,
     bbox: BBox | None = None,
+    cell_map: DataFrame | None = None,
 ) -> DataFrame:
-    """Long index results of every grid cell. ``execucao_id`` may use ``arquivo``."""
+    """Long index results of every grid cell. ``execucao_id`` may use ``arquivo``.
+
+    With a cell map the rows carry their municipality, joined on the yearly rows.
+    """
     wide = wide_indices(grid, params, bbox)
     ids = ["arquivo", "iy", "ix", "lat", "lon", "ano"]
+    if cell_map is not None:
+        wide = spatial.enrich_with_municipality(wide, cell_map)
+        ids.append("municipio_id")
     return _result_rows(rain.to_long(wide, ids), execucao_id, ["iy", "ix", "ano", "nome_indice"])
 
 
@@ -52,9 +60,9 @@ def index_points_wide(grid: DataFrame, points: DataFrame, params: RainParams) ->
     Only the series of cells that were hit is shuffled. Points that share a cell
     each get their own rows.
     """
-    snapped = spatial.snap_to_grid(points, spatial.grid_cells(grid))
+    snapped = keep(spatial.snap_to_grid(points, spatial.grid_cells(grid)))
     daily = rain.to_mm_day_by_file(grid)
-    hit = snapped.select("iy", "ix").distinct()
+    hit = broadcast_if_small(snapped.select("iy", "ix").distinct())
     series = daily.join(hit, ["iy", "ix"], "left_semi").select(
         *rain.CELL_YEAR, "t", "lat", "lon", "valor"
     )
