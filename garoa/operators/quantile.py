@@ -18,10 +18,14 @@ def _ordered_bucket(v: Column) -> Column:
     return F.when(v > 0, magnitude(v)).when(v < 0, -magnitude(-v)).otherwise(F.lit(0))
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({n: f"_{n}" for n in names})
+
+
+def _same(names: list[str]) -> Column:
     same = F.lit(True)
     for name in names:
-        same = same & left[name].eqNullSafe(right[name])
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
     return same
 
 
@@ -63,8 +67,8 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
         F.ceil("rank").alias("hi"),
     )
     wanted = placed.filter((F.col("before") <= F.col("hi")) & (F.col("cum") > F.col("lo")))
-    inside = counts.join(wanted, _same(counts, wanted, [*dims, "b"])).select(
-        *[counts[d] for d in dims], counts["b"], "v", "c", "before", "lo", "hi", "rank"
+    inside = counts.join(_renamed(wanted, [*dims, "b"]), _same([*dims, "b"])).select(
+        *keys, "b", "v", "c", "before", "lo", "hi", "rank"
     )
     within = Window.partitionBy(*dims, "b").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -83,6 +87,6 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
     valor = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
     return (
         totals.filter(F.col("_rows") > 0)
-        .join(found, _same(totals, found, dims), "left")
-        .select(*[totals[d] for d in dims], valor.alias("valor"), "n_amostras")
+        .join(_renamed(found, dims), _same(dims), "left")
+        .select(*keys, valor.alias("valor"), "n_amostras")
     )
