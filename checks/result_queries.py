@@ -294,6 +294,6 @@ def duplicate_keys(spark, sf):
 def coverage_join(spark, sf):
     from garoa.operators import geocode as G
 
-    items = G.geocode(B.name_inputs(spark, sf), B.name_catalog(spark, sf))
+    items = G.geocode(B.name_inputs(spark, sf).withColumn("uf_entrada", F.col("uf")), B.name_catalog(spark, sf))
     held = R.municipalities_with_results(items.select("municipio_id").filter("municipio_id IS NOT NULL"), results(spark, sf))
     return P.coverage_join(items, held).select("identificador", "tem_cobertura")

@@ -44,7 +44,7 @@ def coverage_join(items: DataFrame, with_data: DataFrame) -> DataFrame:
     return items.join(held, "municipio_id", "left").select(
         "identificador",
         F.col("cidade").alias("cidade_entrada"),
-        F.col("uf").alias("uf_entrada"),
+        "uf_entrada",
         covered.alias("tem_cobertura"),
         "municipio_id",
         "nome_canonico",
@@ -59,7 +59,8 @@ def coverage(
     cutoff: float = G.DEFAULT_CUTOFF,
 ) -> DataFrame:
     """Coverage of ``identificador, cidade, uf`` inputs, one row per input."""
-    items = G.geocode(inputs.select("identificador", "cidade", "uf"), municipalities, cutoff)
+    asked_as = inputs.select("identificador", "cidade", "uf", F.col("uf").alias("uf_entrada"))
+    items = G.geocode(asked_as, municipalities, cutoff)
     asked = items.select("municipio_id").filter(F.col("municipio_id").isNotNull())
     return coverage_join(items, municipalities_with_results(asked, results))
 

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("garoa-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
@@ -34,3 +35,21 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def basic(spark, tmp_path_factory):
+    from grids import basic_grid
+
+    path = str(tmp_path_factory.mktemp("grid") / "basic")
+    basic_grid(spark).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="session")
+def calendar_360(spark, tmp_path_factory):
+    from grids import grid_360
+
+    path = str(tmp_path_factory.mktemp("grid") / "g360")
+    grid_360(spark).write.parquet(path)
+    return spark.read.parquet(path)

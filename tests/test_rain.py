@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from grids import basic_grid, finish, grid_360, long_grid
+from grids import finish, long_grid
 from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
@@ -62,11 +62,11 @@ def same(got, want, rel=1e-6):
 
 
 @pytest.mark.parametrize(
-    "make,last,expected,cell", [(basic_grid, 2030, BASIC_A, (0, 1)), (grid_360, 2028, CALENDAR_360_A, (0, 4))]
+    "grid,last,expected,cell", [("basic", 2030, BASIC_A, (0, 1)), ("calendar_360", 2028, CALENDAR_360_A, (0, 4))]
 )
-def test_points_match_frozen_answers(spark, make, last, expected, cell):
+def test_points_match_frozen_answers(spark, request, grid, last, expected, cell):
     params = RainParams(baseline=YearRange(2026, last))
-    rows = rain_jobs.index_points_wide(make(spark), points(spark), params).collect()
+    rows = rain_jobs.index_points_wide(request.getfixturevalue(grid), points(spark), params).collect()
     assert len(rows) == 5 * len(expected)
     for row in rows:
         if row["ponto_id"] == "A":
@@ -74,8 +74,8 @@ def test_points_match_frozen_answers(spark, make, last, expected, cell):
             same([row[n] for n in NAMES], expected[row["ano"]])
 
 
-def test_grid_matches_brute_force(spark):
-    grid = basic_grid(spark)
+def test_grid_matches_brute_force(basic):
+    grid = basic
     params = RainParams(freq_thr_mm=15.0, heavy_thresholds=(10.0, 21.0), baseline=YearRange(2027, 2028))
     got = {(r["iy"], r["ix"], r["ano"]): r for r in rain_jobs.wide_indices(grid, params).collect()}
     pdf = grid.toPandas()
@@ -124,10 +124,10 @@ def test_unit_rule_is_per_file(spark):
     assert {r["units"] for r in rows} == {"mm/day"}
 
 
-def test_long_form_has_units_and_nulls(spark):
+def test_long_form_has_units_and_nulls(basic):
     params = RainParams(baseline=YearRange(2026, 2026))
     bbox = BBox(-23.0, -22.9, -47.0, -46.0)
-    out = rain_jobs.index_grid(basic_grid(spark), params, F.lit("exec_1"), bbox)
+    out = rain_jobs.index_grid(basic, params, F.lit("exec_1"), bbox)
     rows = out.collect()
     assert len(rows) == 4 * 5 * 8
     assert {r["nome_indice"]: r["unidade"] for r in rows} == {
@@ -137,35 +137,35 @@ def test_long_form_has_units_and_nulls(spark):
     assert len({r["id"] for r in rows}) == len(rows)
 
 
-def test_attached_threshold_equals_the_window(spark):
-    grid = basic_grid(spark).filter("iy < 2")
+def test_attached_threshold_equals_the_window(basic):
+    grid = basic.filter("iy < 2")
     params = RainParams(p95_wet_thr=1e-5, freq_thr_mm=1e-4, heavy_thresholds=(1e-4, 2e-4), baseline=YearRange(2027, 2029))
     joined = rain.annual_indices(rain.attach_p95(grid, rain.p95_by_cell(grid, params)), params)
     windowed = rain.annual_indices(rain.with_p95(grid, params), params)
     assert joined.exceptAll(windowed).isEmpty() and windowed.exceptAll(joined).isEmpty()
 
 
-def test_same_answer_for_any_partitioning(spark):
+def test_same_answer_for_any_partitioning(basic):
     params = RainParams(baseline=YearRange(2026, 2030))
-    grid = basic_grid(spark).filter("iy = 0")
+    grid = basic.filter("iy = 0")
     one = rain_jobs.wide_indices(grid.coalesce(1), params)
     many = rain_jobs.wide_indices(grid.orderBy(F.rand(3)).repartition(7), params)
     assert one.exceptAll(many).isEmpty()
 
 
-def test_one_exchange_and_one_sort(spark):
+def test_one_exchange_and_one_sort(basic):
     params = RainParams(baseline=YearRange(2026, 2030))
-    grid = basic_grid(spark)
+    grid = basic
     plan = rain.annual_indices(rain.with_p95(grid, params), params)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
 
 
-def test_bucketed_table_needs_no_exchange(spark):
+def test_bucketed_table_needs_no_exchange(spark, basic):
     from garoa.sinks import tables
 
     params = RainParams(baseline=YearRange(2026, 2030))
-    tables.write_grid(basic_grid(spark).filter("iy < 2"), "grade_teste", 4)
+    tables.write_grid(basic.filter("iy < 2"), "grade_teste", 4)
     grid = spark.table("grade_teste")
     plan = rain.annual_indices(rain.with_p95(grid, params), params)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
