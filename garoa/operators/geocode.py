@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
 from garoa.functions import text as X
+from garoa.operators.sizing import broadcast_if_small, keep
 
 DEFAULT_CUTOFF = 90.0
 LOWEST_CUTOFF = 67.0
@@ -34,8 +35,11 @@ def name_index(municipalities: DataFrame) -> DataFrame:
 
 def geocode_exact(names: DataFrame, municipalities: DataFrame) -> DataFrame:
     """Left join of distinct ``(uf, alvo)`` on UF and normalised name."""
-    index = name_index(municipalities).withColumnRenamed("nome_normalizado", "alvo")
-    return names.join(index, ["uf", "alvo"], "left")
+    return _exact(names, name_index(municipalities))
+
+
+def _exact(names: DataFrame, index: DataFrame) -> DataFrame:
+    return names.join(index.withColumnRenamed("nome_normalizado", "alvo"), ["uf", "alvo"], "left")
 
 
 def _segments(name: Column, per_letter: float) -> Column:
@@ -128,6 +132,11 @@ def _by_inclusion(asked: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _check_cutoff(cutoff: float) -> None:
+    if not LOWEST_CUTOFF <= cutoff <= 100.0:
+        raise ValidationError(f"cutoff must be in [{LOWEST_CUTOFF}, 100], got {cutoff}")
+
+
 def fuzzy_pairs(names: DataFrame, municipalities: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
     """Every ``(uf, a, b, score)`` of one UF with a score of at least ``cutoff``.
 
@@ -135,9 +144,12 @@ def fuzzy_pairs(names: DataFrame, municipalities: DataFrame, cutoff: float = DEF
     pieces of the names that no pair above the cutoff can avoid sharing; all
     pairs of a UF are never formed, and none above the cutoff is lost.
     """
-    if not LOWEST_CUTOFF <= cutoff <= 100.0:
-        raise ValidationError(f"cutoff must be in [{LOWEST_CUTOFF}, 100], got {cutoff}")
-    known = name_index(municipalities).select("uf", F.col("nome_normalizado").alias("b"))
+    _check_cutoff(cutoff)
+    return _pairs(keep(names), keep(name_index(municipalities)), cutoff)
+
+
+def _pairs(names: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
+    known = index.select("uf", F.col("nome_normalizado").alias("b"))
     limit = known.agg(F.max(F.length("b"))).scalar()
     known = known.withColumn("limit", F.length("b"))
     asked = (
@@ -154,8 +166,13 @@ def fuzzy_pairs(names: DataFrame, municipalities: DataFrame, cutoff: float = DEF
 
 def geocode_fuzzy(names: DataFrame, municipalities: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
     """Best municipality of each distinct ``(uf, alvo)``; ties by name, then id."""
+    _check_cutoff(cutoff)
+    return _closest(keep(names), keep(name_index(municipalities)), cutoff)
+
+
+def _closest(names: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
     best = (
-        fuzzy_pairs(names, municipalities, cutoff)
+        _pairs(names, index, cutoff)
         .groupBy("uf", "a")
         .agg(F.min(F.struct((-F.col("score")).alias("worst"), F.col("b").alias("b"))).alias("s"))
         .select(
@@ -165,7 +182,7 @@ def geocode_fuzzy(names: DataFrame, municipalities: DataFrame, cutoff: float = D
             (-F.col("s.worst")).alias("score"),
         )
     )
-    return best.join(name_index(municipalities), ["uf", "nome_normalizado"]).select(
+    return best.join(index, ["uf", "nome_normalizado"]).select(
         "uf", "alvo", "m", "score"
     )
 
@@ -173,14 +190,18 @@ def geocode_fuzzy(names: DataFrame, municipalities: DataFrame, cutoff: float = D
 def geocode(inputs: DataFrame, municipalities: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
     """Resolve ``cidade, uf`` of every input; other columns pass through.
 
-    Each distinct name is resolved once, then joined back.
+    Each distinct name is resolved once, then joined back. The distinct names
+    and the name index are kept: the likeness search reads both several times.
+    While the resolved names are few, the inputs are not shuffled at all.
     """
+    _check_cutoff(cutoff)
+    index = keep(name_index(municipalities))
     keyed = inputs.withColumn("uf", F.upper("uf")).withColumn("alvo", X.normalize_city(F.col("cidade")))
     names = keyed.select("uf", "alvo").filter(F.col("alvo") != "").distinct()
-    exact = geocode_exact(names, municipalities)
+    exact = keep(_exact(names, index))
     found = exact.filter(F.col("m").isNotNull()).select("uf", "alvo", "m", F.lit(EXACT).alias("_how"))
     rest = exact.filter(F.col("m").isNull()).select("uf", "alvo")
-    close = geocode_fuzzy(rest, municipalities, cutoff).select("uf", "alvo", "m", F.lit(FUZZY).alias("_how"))
+    close = _closest(rest, index, cutoff).select("uf", "alvo", "m", F.lit(FUZZY).alias("_how"))
     ufs = municipalities.select("uf", F.lit(True).alias("_uf")).distinct()
     how = (
         F.when(F.col("_uf").isNull(), F.lit(NO_CATALOG))
@@ -188,7 +209,7 @@ def geocode(inputs: DataFrame, municipalities: DataFrame, cutoff: float = DEFAUL
         .otherwise(F.col("_how"))
     )
     return (
-        keyed.join(found.unionByName(close), ["uf", "alvo"], "left")
+        keyed.join(broadcast_if_small(found.unionByName(close)), ["uf", "alvo"], "left")
         .join(ufs, "uf", "left")
         .select(
             *inputs.columns,

@@ -38,25 +38,28 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
     NULL is a group of its own; a group without values has NULL and 0.
     """
     keys = [F.col(d) for d in dims]
-    totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count(value).alias("n_amostras")
-    )
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("v"))
+        df.groupBy(*keys, F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("b", _ordered_bucket(F.col("v")))
+        .withColumn("b", F.when(F.col("v").isNotNull(), _ordered_bucket(F.col("v"))))
     )
     buckets = counts.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
+    held = F.when(F.col("b").isNotNull(), F.col("bc")).otherwise(F.lit(0))
+    totals = buckets.groupBy(*keys).agg(
+        F.sum("bc").alias("_rows"), F.sum(held).alias("n_amostras")
+    )
+    # NULL values form the last bucket, past every rank. Filtering them out here
+    # would reach the scans and part plans that can share their exchanges.
     whole = Window.partitionBy(*keys)
-    running = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.lit(q) * (F.sum("bc").over(whole) - 1)
+    running = whole.orderBy(F.col("b").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     placed = buckets.select(
         *keys,
         "b",
-        F.sum("bc").over(running).alias("cum"),
         "bc",
-        rank.alias("rank"),
+        F.sum("bc").over(running).alias("cum"),
+        (F.lit(q) * (F.sum(held).over(whole) - 1)).alias("rank"),
     ).select(
         *keys,
         "b",

@@ -14,7 +14,8 @@ from garoa.functions import numeric as N
 from garoa.operators.sizing import broadcast_if_small
 from garoa.params import BBox, RainParams, YearRange
 
-CELL = ["arquivo", "iy", "ix"]
+# The cell indexes lead: the sort compares two integers before a file name.
+CELL = ["iy", "ix", "arquivo"]
 CELL_YEAR = [*CELL, "ano"]
 INDEX_NAMES = list(N.INDEX_UNITS)
 SMALL_MAX_MM = 5.0

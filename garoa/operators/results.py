@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.functions import numeric as N
 from garoa.operators.quantile import group_percentile
+from garoa.operators.sizing import keep
 from garoa.params import Aggregation, Page, ResultFilter, StressFilter
 
 RESULT_ORDER = ["execucao_id", "ano", "nome_indice", "id"]
@@ -169,13 +170,22 @@ def result_counters(results: DataFrame) -> DataFrame:
 
 
 def stats_summary(results: DataFrame, runs: DataFrame) -> DataFrame:
-    """Distinct vocabularies and counters in one row."""
+    """Distinct vocabularies and counters in one row.
+
+    The results are read once, into the few combinations of run, year and index.
+    """
+    held = keep(
+        results.groupBy("execucao_id", "ano", "nome_indice").agg(F.count(F.lit(1)).alias("n"))
+    )
 
     def listed(dim: str) -> Column:
-        values = distinct_values(results, dim, runs)
+        values = distinct_values(held, dim, runs)
         return values.agg(F.sort_array(F.collect_list(dim))).scalar()
 
-    return result_counters(results).select(
+    return held.agg(
+        F.countDistinct("execucao_id").alias("total_execucoes_com_resultados"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_resultados"),
+    ).select(
         listed("cenario").alias("cenarios"),
         listed("ano").alias("anos"),
         listed("variavel").alias("variaveis"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
 from garoa.functions import numeric as N
-from garoa.operators.sizing import keep
+from garoa.operators.sizing import broadcast_if_small, keep
 
 LEAF_CELLS = 16
 BRANCH_CELLS = 256
@@ -203,7 +203,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
         & (F.col("y") < F.col("yb"))
     )
     candidates = (
-        placed.join(tiles, ["tx", "ty"]).filter(inside_box).select("x", "y", "band", "municipio_id")
+        placed.join(broadcast_if_small(tiles), ["tx", "ty"]).filter(inside_box).select("x", "y", "band", "municipio_id")
     )
     banded = edges.select(
         "municipio_id",

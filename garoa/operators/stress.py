@@ -57,6 +57,16 @@ def keep_first_file(grid: DataFrame) -> DataFrame:
     return grid.join(broadcast_if_small(winner), [*keys, "arquivo"], "left_semi")
 
 
+def place_in_municipality(grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Grid rows of mapped cells with their municipality.
+
+    The map has a row per cell, the grid one per cell and day: a map within the
+    counted bound is broadcast and the grid stays where it was read.
+    """
+    ids = broadcast_if_small(cell_map.select(*on, "municipio_id"))
+    return grid.join(ids, list(on))
+
+
 def municipality_mean(
     grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...] = ("iy", "ix")
 ) -> DataFrame:
@@ -65,8 +75,7 @@ def municipality_mean(
     A step whose cells are all NaN keeps a NULL row; municipalities without a
     cell are absent.
     """
-    placed = grid.join(cell_map.select(*on, "municipio_id"), list(on))
-    return placed.groupBy("cenario", "variavel", "municipio_id", "t").agg(
+    return place_in_municipality(grid, cell_map, on).groupBy("cenario", "variavel", "municipio_id", "t").agg(
         F.avg(N.finite_or_null(F.col("valor")).cast("double")).alias("valor")
     )
 
@@ -120,7 +129,7 @@ def municipality_days(
     Equal to three spatial means followed by ``align_three``, with one shuffle
     and no join of large frames: a variable without a row for the step drops it.
     """
-    placed = grid.join(cell_map.select(*on, "municipio_id"), list(on))
+    placed = place_in_municipality(grid, cell_map, on)
     value = N.finite_or_null(F.col("valor")).cast("double")
     seen = [F.count_if(F.col("variavel") == v).alias(f"_n{i}") for i, v in enumerate(VARIABLES)]
     means = [

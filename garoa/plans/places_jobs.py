@@ -11,6 +11,7 @@ from garoa.operators import municipalities as M
 from garoa.operators import spatial
 from garoa.operators import suppliers as S
 from garoa.operators.results import municipalities_with_results
+from garoa.operators.sizing import broadcast_if_small
 from garoa.schemas import MUNICIPALITY, SUPPLIER_SITE
 
 # Why an input has no coverage.
@@ -62,7 +63,8 @@ def coverage(
     asked_as = inputs.select("identificador", "cidade", "uf", F.col("uf").alias("uf_entrada"))
     items = G.geocode(asked_as, municipalities, cutoff)
     asked = items.select("municipio_id").filter(F.col("municipio_id").isNotNull())
-    return coverage_join(items, municipalities_with_results(asked, results))
+    held = broadcast_if_small(municipalities_with_results(asked, results))
+    return coverage_join(items, held)
 
 
 def coverage_summary(items: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garoa.errors import DuplicateKeyError, ExportLimitError, ValidationError
+from garoa.operators.rain import CELL
 from garoa.operators.results import STRESS_ORDER
 
 EXPORT_ROWS = 200_000
@@ -61,13 +62,15 @@ def replace_run(df: DataFrame, path: str, run_id: str) -> None:
 def write_grid(df: DataFrame, table: str, buckets: int) -> None:
     """Store a grid as a table bucketed by cell and sorted by day.
 
-    The index jobs hash by file and cell and sort by day, so on such a table
-    they run without a shuffle.
+    The index jobs hash by cell and file and sort by day, so on such a table
+    they run without a shuffle. Rows are hashed the same way before the write:
+    every task writes one file.
     """
     (
-        df.write.mode("overwrite")
-        .bucketBy(buckets, "arquivo", "iy", "ix")
-        .sortBy("arquivo", "iy", "ix", "ano", "t")
+        df.repartition(buckets, *CELL)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *CELL)
+        .sortBy(*CELL, "ano", "t")
         .saveAsTable(table)
     )
 
