@@ -66,8 +66,8 @@ def calendar_360_to_gregorian(spark, sf):
 
 
 @query(
-    f"""SELECT arquivo, iy, ix, {_DAY}, valor FROM grid_pr_runs JOIN
-    (SELECT t, min(arquivo) AS arquivo FROM grid_pr_runs GROUP BY 1) USING (t, arquivo)""",
+    f"""SELECT arquivo, iy, ix, {_DAY}, valor FROM grid_pr_runs
+    QUALIFY row_number() OVER (PARTITION BY iy, ix, t ORDER BY arquivo) = 1""",
     "grid_pr_runs",
 )
 def keep_first_file(spark, sf):

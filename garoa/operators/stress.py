@@ -47,14 +47,27 @@ def normalize_calendar(grid: DataFrame) -> DataFrame:
 
 
 def keep_first_file(grid: DataFrame) -> DataFrame:
-    """Where files of one variable overlap in time, keep the first file's time step whole.
+    """Where files of one variable overlap in time, keep each cell's row of the first file.
 
-    The winner of each time step comes from a small aggregate of two columns, so
-    the grid itself is neither shuffled nor sorted.
+    A small aggregate of two columns finds the time steps that more than one file
+    has. Without any, the grid is returned as it is; else only the rows of those
+    steps are shuffled, and the rank filter cuts copies before the shuffle.
     """
-    keys = ["cenario", "variavel", "t"]
-    winner = grid.groupBy(*keys).agg(F.min("arquivo").alias("arquivo"))
-    return grid.join(broadcast_if_small(winner), [*keys, "arquivo"], "left_semi")
+    step = ["cenario", "variavel", "t"]
+    files = grid.groupBy(*step).agg(F.min("arquivo").alias("_a"), F.max("arquivo").alias("_b"))
+    contested = broadcast_if_small(files.filter(F.col("_a") != F.col("_b")).select(*step))
+    if contested.isEmpty():
+        return grid
+    copies = Window.partitionBy("cenario", "variavel", "iy", "ix", "t").orderBy("arquivo")
+    firsts = (
+        grid.join(contested, step, "left_semi")
+        .withColumn("_n", F.row_number().over(copies))
+        .filter(F.col("_n") == 1)
+        .drop("_n")
+    )
+    return grid.join(contested, step, "left_anti").select(*grid.columns).unionByName(
+        firsts.select(*grid.columns)
+    )
 
 
 def place_in_municipality(grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...]) -> DataFrame:

@@ -29,7 +29,8 @@ def water_stress_days(
     grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...] = ("variavel", "iy", "ix")
 ) -> DataFrame:
     """Units, overlap rule, spatial means and alignment of a three-variable grid."""
-    return stress.municipality_days(stress.keep_first_file(stress.canonical_units(grid)), cell_map, on)
+    three = grid.filter(F.col("variavel").isin(*stress.VARIABLES))
+    return stress.municipality_days(stress.keep_first_file(stress.canonical_units(three)), cell_map, on)
 
 
 def water_stress_run(

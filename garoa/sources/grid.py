@@ -136,10 +136,13 @@ def read_grid(
     schema: T.StructType | None = None,
     **given,
 ) -> DataFrame:
-    """One variable of one table; the file name stands in for a missing ``arquivo``."""
+    """One variable of one table; the table's own name stands in for a missing ``arquivo``.
+
+    A table may lie in many part files, and a cell's series in several of them.
+    """
     df = _load(spark, path, fmt, schema)
     if "arquivo" not in df.columns:
-        df = df.withColumn("arquivo", F.col("_metadata.file_name"))
+        df = df.withColumn("arquivo", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
     return as_grid(df, variavel, **given)
 
 

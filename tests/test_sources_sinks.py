@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from garoa import errors as E
-from garoa.functions import text as X
 from garoa.operators import spatial
 from garoa.sinks import tables as T
 from garoa.sources import grid as G
@@ -31,11 +30,11 @@ def days(spark, value=1.0):
 
 def test_read_grid_names_index_and_scenario(spark, tmp_path):
     path = write(spark, tmp_path / "pr_RCP85_x", days(spark), LONG)
-    grid = G.read_grid(spark, path, "pr", cenario=X.infer_scenario(F.lit("pr_RCP85_x.nc"), []))
+    grid = G.read_grid(spark, path, "pr")
     rows = grid.collect()
     assert {(r["iy"], r["ix"], r["lat"], r["lon"]) for r in rows} == {(0, 0, 1.0, 10.0), (0, 1, 1.0, 11.0), (1, 0, 2.0, 10.0), (1, 1, 2.0, 11.0)}
     assert {r["cenario"] for r in rows} == {"rcp85"} and {r["ano"] for r in rows} == {2030}
-    assert rows[0]["arquivo"].endswith(".parquet")
+    assert rows[0]["arquivo"] == "pr_RCP85_x"
 
 
 def test_missing_columns_fail_without_a_job(spark):

@@ -103,6 +103,15 @@ def test_overlapping_files_keep_the_first(spark):
     union = part("b.nc", 2.0, "2030-01-02").unionByName(part("a.nc", 1.0, "2030-01-01"))
     rows = S.keep_first_file(union).select("t", "valor").distinct().collect()
     assert {(r["t"].day, r["valor"]) for r in rows} == {(1, 1.0), (2, 1.0), (3, 1.0), (4, 2.0)}
+    kept = S.keep_first_file(union)
+    assert kept.count() == 8 and "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_that_split_a_time_step_lose_nothing(spark):
+    whole = long_grid(spark, np.arange(60.0).reshape(10, 2, 3), range(2), range(3), "2030-01-01", "a", "mm/day", "pr")
+    parts = whole.withColumn("arquivo", F.concat(F.lit("part-"), (F.col("ix") % 2).cast("string")))
+    assert S.keep_first_file(parts).count() == 60
+    assert S.keep_first_file(whole) is whole
 
 
 def test_units_and_calendar(spark):
