@@ -88,8 +88,9 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
         at("lo").alias("_lo"), at("hi").alias("_hi"), F.max(F.col("rank") - F.col("lo")).alias("_f")
     )
     valor = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
-    return (
-        totals.filter(F.col("_rows") > 0)
-        .join(_renamed(found, dims), _same(dims), "left")
-        .select(*keys, valor.alias("valor"), "n_amostras")
+    # Both sides have a row per group; grouping their union treats NULL keys as
+    # equal and also serves the case of a single group without keys.
+    merged = totals.unionByName(found, allowMissingColumns=True).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("_rows", "n_amostras", "_lo", "_hi", "_f")]
     )
+    return merged.filter(F.col("_rows") > 0).select(*keys, valor.alias("valor"), "n_amostras")

@@ -29,20 +29,22 @@ def dataset_max(grid: DataFrame) -> DataFrame:
 def to_mm_day_by_file(grid: DataFrame) -> DataFrame:
     """Convert files whose unit is a flux, or whose largest value is below 5.
 
-    Only files without a flux unit are read for their maximum, and only the few
-    that fall below the mark are joined back.
+    Only files without a flux unit are read for their maximum, and only those
+    that fall below the mark, if any, are joined back.
     """
     kind = N.column_type(grid, "valor")
     flux = N.is_flux(F.col("units"))
-    low = (
+    low = broadcast_if_small(
         dataset_max(grid.filter(~flux))
         .filter(F.col("vmax") < F.lit(SMALL_MAX_MM))
         .select("arquivo", F.lit(True).alias("_low"))
     )
-    convert = flux | F.coalesce(F.col("_low"), F.lit(False))
+    rows, convert = grid, flux
+    if not low.isEmpty():
+        rows = grid.join(low, "arquivo", "left")
+        convert = flux | F.coalesce(F.col("_low"), F.lit(False))
     return (
-        grid.join(broadcast_if_small(low), "arquivo", "left")
-        .withColumn("unidade_original", F.coalesce(F.col("units"), F.lit("")))
+        rows.withColumn("unidade_original", F.coalesce(F.col("units"), F.lit("")))
         .withColumn("conversao_unidade_aplicada", convert)
         .withColumn("valor", F.when(convert, N.per_day(F.col("valor"), kind)).otherwise(F.col("valor")))
         .withColumn("units", F.lit("mm/day"))
