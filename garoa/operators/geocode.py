@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
 from garoa.functions import text as X
-from garoa.operators.sizing import broadcast_if_small, keep
+from garoa.operators.sizing import broadcast_if_small, keep, spread
 
 DEFAULT_CUTOFF = 90.0
 LOWEST_CUTOFF = 67.0
+INDEX_ROWS = 10_000
 MAX_STRETCH = 8.0
 MIN_STRETCH = 1.5
 
@@ -33,6 +34,11 @@ def name_index(municipalities: DataFrame) -> DataFrame:
     )
 
 
+def _held(municipalities: DataFrame) -> DataFrame:
+    """The name index, kept, and broadcast with all its pieces while names are few."""
+    return broadcast_if_small(name_index(municipalities), INDEX_ROWS)
+
+
 def geocode_exact(names: DataFrame, municipalities: DataFrame) -> DataFrame:
     """Left join of distinct ``(uf, alvo)`` on UF and normalised name."""
     return _exact(names, name_index(municipalities))
@@ -145,7 +151,7 @@ def fuzzy_pairs(names: DataFrame, municipalities: DataFrame, cutoff: float = DEF
     pairs of a UF are never formed, and none above the cutoff is lost.
     """
     _check_cutoff(cutoff)
-    return _pairs(keep(names), keep(name_index(municipalities)), cutoff)
+    return _pairs(keep(spread(names)), _held(municipalities), cutoff)
 
 
 def _pairs(names: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
@@ -167,7 +173,7 @@ def _pairs(names: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
 def geocode_fuzzy(names: DataFrame, municipalities: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
     """Best municipality of each distinct ``(uf, alvo)``; ties by name, then id."""
     _check_cutoff(cutoff)
-    return _closest(keep(names), keep(name_index(municipalities)), cutoff)
+    return _closest(keep(spread(names)), _held(municipalities), cutoff)
 
 
 def _closest(names: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
@@ -192,12 +198,12 @@ def geocode(inputs: DataFrame, municipalities: DataFrame, cutoff: float = DEFAUL
 
     Each distinct name is resolved once, then joined back. The distinct names
     and the name index are kept: the likeness search reads both several times.
-    While the resolved names are few, the inputs are not shuffled at all.
+    While the resolved names are few, the inputs are joined where they are.
     """
     _check_cutoff(cutoff)
-    index = keep(name_index(municipalities))
+    index = _held(municipalities)
     keyed = inputs.withColumn("uf", F.upper("uf")).withColumn("alvo", X.normalize_city(F.col("cidade")))
-    names = keyed.select("uf", "alvo").filter(F.col("alvo") != "").distinct()
+    names = spread(keyed.select("uf", "alvo").filter(F.col("alvo") != "").distinct())
     exact = keep(_exact(names, index))
     found = exact.filter(F.col("m").isNotNull()).select("uf", "alvo", "m", F.lit(EXACT).alias("_how"))
     rest = exact.filter(F.col("m").isNull()).select("uf", "alvo")

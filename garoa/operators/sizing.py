@@ -17,6 +17,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread small rows that are costly to work on over all shuffle partitions.
+
+    Adaptive execution sizes tasks by bytes and would leave such rows to a few.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a narrow table is counted at no more than ``max_rows``.
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from garoa.errors import ValidationError
 from garoa.functions import numeric as N
-from garoa.operators.sizing import broadcast_if_small, keep
+from garoa.operators.sizing import broadcast_if_small, keep, spread
 
-LEAF_CELLS = 16
-BRANCH_CELLS = 256
-BROADCAST_LEAVES = 4_000
+LEAF_CELLS = 8
+BRANCH_CELLS = 64
+BROADCAST_LEAVES = 16_000
 SNAP_SLACK_DEG = 1e-3
 TILE_DEG = 1.0
 BAND_DEG = 0.1
@@ -100,8 +100,8 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Nearest cell of every point; ties go to the smallest ``(iy, ix)``.
 
     Squared degrees on longitudes in [-180, 180), in the number type of the
-    grid, at any distance. Cells are grouped into tiles of 16x16 and those into
-    tiles of 256x256 cells. A tile is dropped when its nearest corner is farther
+    grid, at any distance. Cells are grouped into tiles of 8x8 and those into
+    tiles of 64x64 cells. A tile is dropped when its nearest corner is farther
     than another tile's farthest one, so a point meets a few hundred cells
     instead of the grid. Every array is bounded by the tile size.
     """
@@ -128,7 +128,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
         )
     ).scalar()
 
-    targets = points.select("lat", "lon").distinct().select(
+    targets = spread(points.select("lat", "lon").distinct()).select(
         "lat",
         "lon",
         F.col("lat").cast(kind).alias("py"),
@@ -189,7 +189,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     tiles = boxes.select("*", _steps(F.col("xa"), F.col("xb"), TILE_DEG).alias("tx")).select(
         "*", _steps(F.col("ya"), F.col("yb"), TILE_DEG).alias("ty")
     )
-    placed = points.select(
+    placed = spread(points).select(
         "x",
         "y",
         F.floor(F.col("x") / F.lit(TILE_DEG)).cast("bigint").alias("tx"),
