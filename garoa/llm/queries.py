@@ -4,18 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from garoa.llm import near_dedup
+from garoa.llm import chat, decontaminate, fingerprints, html_text, language, mixing, near_dedup, tokens, warc
 from garoa.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, read back from their formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    return chat.digests(chat.format_chats(rows.union(spark.createDataFrame(extra, rows.schema))))
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage of a replica of all pages as WARC records: every 50th page changed, lost, or only there."""
+    records = warc.page_records(table(spark, sf_dir, "pages"))
+    turn = F.coalesce(F.pmod("page_id", F.lit(50)), F.lit(0))
+    changed = F.concat(F.lit("WARC/1.1"), F.substring("payload", 9, 2147483647))
+    copy = records.where(turn != 2).withColumn("payload", F.when(turn == 1, changed).otherwise(F.col("payload")))
+    return warc.audit(records.where(turn != 3), copy)
+
+
+_CRLF = "chr(13) || chr(10)"
+ORACLES["op2_warc_fixity"] = f"""
+WITH made AS (
+  SELECT page_id, coalesce(printf('pages-%08d.warc', page_id // 1000), 'pages-none.warc') AS file,
+    'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF}
+      || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF}
+      || coalesce(html, '') || {_CRLF} || {_CRLF} AS payload
+  FROM pages),
+placed AS (
+  SELECT *, strlen(payload) AS length, coalesce(page_id % 50, 0) AS turn,
+    coalesce(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id, sha256(payload)
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM made)
+SELECT file, "offset",
+  CASE turn WHEN 1 THEN 'changed' WHEN 2 THEN 'missing' ELSE 'extra' END AS status,
+  CASE WHEN turn <> 3 THEN length END AS left_length,
+  CASE WHEN turn <> 3 THEN sha256(length || '|' || sha256(payload)) END AS left_digest,
+  CASE WHEN turn <> 2 THEN length END AS right_length,
+  CASE turn WHEN 1 THEN sha256(length || '|' || sha256('WARC/1.1' || payload[9:])) WHEN 3 THEN sha256(length || '|' || sha256(payload)) END AS right_digest
+FROM placed WHERE turn IN (1, 2, 3)
+"""
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the target weights of their sources."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, F.array("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op4_near_duplicates,)}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_warc_fixity,
+        op3_mix_sources,
+        op4_near_duplicates,
+        op5_token_counts,
+        op6_main_text,
+        op7_fingerprints,
+        op9_leaks,
+        op10_language,
+    )
+}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 
@@ -62,3 +64,19 @@ def arrow_batch(columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
     """A record batch of named columns."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+
+def row_udf(kind: T.DataType, limit: int = BATCH_BYTES) -> Callable:
+    """An Arrow function of one text column; it works on slices of about ``limit`` bytes."""
+
+    def wrap(fn: Callable[[pa.Array], pa.Array]) -> Callable:
+        @F.arrow_udf(kind)
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                batch = pa.RecordBatch.from_arrays([column], names=["text"])
+                parts = [fn(piece.column(0)) for piece in by_bytes([batch], limit=limit)]
+                yield pa.concat_arrays(parts) if parts else fn(column)
+
+        return run
+
+    return wrap
