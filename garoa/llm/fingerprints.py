@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is a multiset of paragraphs: runs of words that end at a line end or at a
-word whose hash says so, four words or so, hence an edit moves few bounds. Each
+A text is a multiset of paragraphs: runs of at most four words that end at a line
+end or at a word whose hash says so, hence an edit moves few bounds. Each
 paragraph's digest goes into three cells of a sketch, one per third, which keep
 count, xor of digests and xor of their checks. Two sketches subtract cell by
 cell; peeling cells of one digest recovers what the two texts do not share. Where
@@ -24,7 +24,8 @@ from garoa.llm.shared import arrow_batch
 
 CELLS = 24
 GROWTH = 4
-BREAK = np.uint64(4)
+BREAK = np.uint64(3)
+LONGEST = 4
 BATCH_BYTES = 1 << 20
 _HASHES = 3
 _NEWLINE = 10
@@ -42,9 +43,9 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lines = np.append(0, np.cumsum(words.data == _NEWLINE))
     last = np.ones(n, bool)
     last[:-1] = (hashes[:-1] % BREAK == 0) | (rows[1:] != rows[:-1]) | (lines[words.starts[1:]] != lines[words.ends[:-1]])
-    begin = np.append(0, np.flatnonzero(last)[:-1] + 1)
-    size = np.diff(np.append(begin, n))
-    place = np.arange(n) - np.repeat(begin, size)
+    begin, size, place = _runs(last)
+    last |= (place + 1) % LONGEST == 0
+    begin, size, place = _runs(last)
     digest = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
     row = rows[begin]
     order = np.lexsort((digest, row))
@@ -54,6 +55,13 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(digest + (np.arange(len(same)) - run).astype(np.uint64)), row
 
 
+def _runs(last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and size of runs whose ends are marked, and each element's place in its run."""
+    begin = np.append(0, np.flatnonzero(last)[:-1] + 1)
+    size = np.diff(np.append(begin, len(last)))
+    return begin, size, np.arange(len(last)) - np.repeat(begin, size)
+
+
 def sketch(digests: np.ndarray, rows: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, digests and checks of the cells of n sketches, each a row."""
     count, key, check = np.zeros((n, cells), np.int64), np.zeros((n, cells), np.uint64), np.zeros((n, cells), np.uint64)
