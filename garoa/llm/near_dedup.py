@@ -141,7 +141,7 @@ def _compare_chunks(nodes: DataFrame) -> DataFrame:
     chunks = nodes.groupBy("node", "chunk").agg(F.collect_list(member).alias("members"))
     left = chunks.select("node", F.col("chunk").alias("c1"), F.col("members").alias("left"))
     right = chunks.select("node", F.col("chunk").alias("c2"), F.col("members").alias("right"))
-    pairs = left.join(right, "node").where("c1 <= c2").select("left", "right")
+    pairs = left.join(right.hint("merge"), "node").where("c1 <= c2").select("left", "right")
     return pairs.mapInArrow(_node_links, "a long, b long")
 
 
@@ -149,35 +149,41 @@ def likely_links(sketched: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect all documents the trees find likely alike.
 
     ``sketched(id, n, tokens)`` has a row per distinct word sequence. At each
-    node all members are compared with its least id; nodes that this connects
-    are done, other small nodes are compared exhaustively, large ones branch on.
-    Nodes still large at the last level are compared chunk by chunk.
+    node all members are compared with its least id, small nodes exhaustively.
+    Large nodes whose members this does not connect branch on. Nodes still
+    large at the last level are compared chunk by chunk.
     """
-    spark = sketched.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    nodes = sketched.select("id", "n", "tokens", F.explode(_children(F.lit(0), 0)).alias("node"))
+    links, nodes = None, sketched.select("id", "n", "tokens", F.explode(_children(F.lit(0), 0)).alias("node"))
     for level in range(1, DEPTH + 1):
-        size = nodes.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot"))
-        shared = checkpointed(nodes.select("node", "id").join(size.where("m > 1"), "node"))
+        size = nodes.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
+        shared = checkpointed(nodes.select("node", "id").join(size.hint("merge"), "node"))
         pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        side = lambda c: sketched.select(F.col("id").alias(c), F.col("n").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-        found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
-        links = checkpointed(links.union(found))
-        labels = components(links)
-        named = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        state = named.groupBy("node").agg((F.min("component") < F.max("component")).alias("open"))
-        open_nodes = shared.where("m > 2").join(state.where("open"), "node").select("node", "id", "m")
-        open_nodes = checkpointed(open_nodes.join(sketched, "id"))
-        small = open_nodes.where(F.col("m") <= SMALL_NODE).withColumn("chunk", F.lit(0))
-        links = checkpointed(links.union(_compare_chunks(small)))
-        large = open_nodes.where(F.col("m") > SMALL_NODE)
+        found = pairs.join(_side(sketched, "a"), "a").join(_side(sketched, "b"), "b").mapInArrow(_likely, "a long, b long")
+        small = shared.where(f"m between 3 and {SMALL_NODE}").select("node", "id", F.lit(0).alias("chunk"))
+        found = found.union(_compare_chunks(small.join(sketched.hint("merge"), "id")))
+        links = checkpointed(found if links is None else links.union(found))
+        large = shared.where(f"m > {SMALL_NODE}").select("node", "id", "m")
         if large.isEmpty():
             return links
+        large = checkpointed(_unconnected(large, links).join(sketched.hint("merge"), "id"))
         nodes = large.select("id", "n", "tokens", F.explode(_children(F.col("node"), level)).alias("node"))
     spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK))
     return checkpointed(links.union(_compare_chunks(large.withColumn("chunk", spread))))
 
 
+def _side(sketched: DataFrame, c: str) -> DataFrame:
+    """Sketches as one end of a pair; never broadcast."""
+    named = sketched.select(F.col("id").alias(c), F.col("n").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}"))
+    return named.hint("merge")
+
+
+def _unconnected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows ``node, id, m`` of nodes with members that the links do not connect."""
+    named = nodes.join(components(links).hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    state = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return nodes.join(state.select("node").hint("merge"), "node")
+
+
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(*offsets_of(batch.column("text")), lower=True)
     return distinct_by_row(*shingles(word_hashes(words), words.first, SHINGLE))
@@ -245,13 +251,20 @@ def _confirm_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _chunk_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Exact links between documents of the same ``grp`` on both sides, chunk against chunk."""
-    pack = lambda df, c: df.groupBy("grp", F.pmod(F.xxhash64("id"), "chunks").alias(f"chunk_{c}")).agg(
-        F.collect_list(F.struct("id", "text")).alias(c)
-    )
-    return pack(left, "left").join(pack(right, "right"), "grp").select("left", "right").mapInArrow(
-        _confirm_pairs, "a long, b long"
-    )
+    """Exact links between documents of the same ``grp`` on both sides, chunk against chunk.
+
+    Each left chunk goes to every right chunk of its group, so a large group is
+    spread over as many keys as it has chunks.
+    """
+    packed = [
+        df.groupBy("grp", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")).agg(
+            F.collect_list(F.struct("id", "text")).alias(name), F.first("chunks").alias("chunks")
+        )
+        for df, name in ((left, "left"), (right, "right"))
+    ]
+    sent = packed[0].select("grp", "left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long").alias("chunk"))
+    pairs = sent.join(packed[1].select("grp", F.col("chunk").cast("long").alias("chunk"), "right").hint("merge"), ["grp", "chunk"])
+    return pairs.select("left", "right").mapInArrow(_confirm_pairs, "a long, b long")
 
 
 def confirmed_links(likely: DataFrame, docs: DataFrame) -> DataFrame:
@@ -261,11 +274,11 @@ def confirmed_links(likely: DataFrame, docs: DataFrame) -> DataFrame:
     compared with one chunk of it first, which is linear; only documents that
     this leaves outside the group's largest part are compared with all others.
     """
-    groups = checkpointed(components(likely).withColumnRenamed("component", "grp"))
+    groups = components(likely).withColumnRenamed("component", "grp")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m"))
-    members = groups.join(sizes, "grp")
+    members = groups.join(sizes.hint("merge"), "grp")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    texts = checkpointed(texts.join(members, "id").withColumn("chunks", F.ceil(F.col("m") / CHUNK)))
+    texts = checkpointed(texts.join(members.hint("merge"), "id").withColumn("chunks", F.ceil(F.col("m") / CHUNK)))
     one = texts.where("chunks = 1").select("grp", "id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = one.repartition(parts, "grp").sortWithinPartitions("grp", "id").mapInArrow(_confirm_groups, "a long, b long")
@@ -274,12 +287,14 @@ def confirmed_links(likely: DataFrame, docs: DataFrame) -> DataFrame:
         return checkpointed(small)
     probe = many.where(F.pmod(F.xxhash64("id"), "chunks") == 0)
     links = checkpointed(small.union(_chunk_pairs(probe, many)))
-    label = many.select("grp", "id", "m").distinct().join(components(links), "id", "left")
+    label = many.select("grp", "id").distinct().join(components(links).hint("merge"), "id", "left")
     label = label.withColumn("component", F.coalesce("component", "id"))
     parts_of = label.groupBy("grp", "component").agg(F.count("*").alias("k"))
     largest = parts_of.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    outside = label.join(largest, "grp").where("component <> largest").select("id")
-    rest = many.join(outside, "id", "left_semi")
+    outside = label.join(largest.hint("merge"), "grp").where("component <> largest").select("id")
+    rest = checkpointed(many.join(outside.hint("merge"), "id", "left_semi"))
+    if rest.isEmpty():
+        return links
     return checkpointed(links.union(_chunk_pairs(rest, many)))
 
 
@@ -299,11 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
     )
     classes = checkpointed(classes)
-    copies = filled.select("doc_id", "high", "low").join(classes.select("high", "low", "id"), ["high", "low"])
+    copies = filled.select("doc_id", "high", "low").join(classes.select("high", "low", "id").hint("merge"), ["high", "low"])
     copies = copies.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     links = confirmed_links(likely_links(classes.select("id", "n", "tokens")), docs)
-    labels = components(links.union(copies)).withColumnRenamed("id", "doc_id")
-    out = sketched.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
+    labels = components(checkpointed(links.union(copies))).withColumnRenamed("id", "doc_id")
+    out = sketched.select("doc_id", "n_shingles").join(labels.hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

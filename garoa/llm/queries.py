@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garoa.llm import chat, decontaminate, fingerprints, html_text, language, mixing, near_dedup, tokens, warc
+import corpus_pipeline
+from garoa.llm import chat, decontaminate, fingerprints, html_text, language, mixing, near_dedup, substring, tokens, warc
 from garoa.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated windows."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -102,7 +109,9 @@ QUERIES |= {
         op5_token_counts,
         op6_main_text,
         op7_fingerprints,
+        op8_repeated_passages,
         op9_leaks,
         op10_language,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
