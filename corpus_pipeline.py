@@ -1,3 +1,82 @@
-"""Stages of the corpus pipeline."""
+"""A training corpus from raw documents, in stages that each call one operator.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps, with the
+columns of ``documents``; the last one adds what the mix takes. A stage sees all
+that its predecessor kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from garoa.llm import decontaminate, language, mixing, near_dedup, substring
+from garoa.llm.shared import shared_folder, table
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without text or letters go."""
+    model = language.fit(docs.where(~language.held_out()))
+    name = f"language_{uuid.uuid4().hex}"
+    return language.with_language(docs, model, name).where(F.col(name).lang_pred != language.UNKNOWN).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of least id; rows without id stay."""
+    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that older ones have; those of which nothing is left go.
+
+    A document that loses nothing keeps its text as it is.
+    """
+    cut = substring.remove_repeats(docs, docs.columns)
+    cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    lost = F.col("n_removed") > 0
+    changed = {"text": F.when(lost, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        size = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(lost, size).otherwise(F.col("n_chars"))
+    return cut.withColumns(changed).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with ``taken``, the words it takes of each, repeats counted."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text", "source"))
+    taken = mixing.mix(keyed.select(F.col("row_key").alias("doc_id"), "text", "source"), F.array("source"))
+    taken = taken.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
+    some = taken.where("words > 0")
+    joined = keyed.join(some.hint("merge"), "row_key")
+    return joined.select(*docs.columns, F.floor(F.col("words") / F.col("rows")).alias("taken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", by_language),
+    ("near_duplicates", one_of_near_copies),
+    ("repeated_passages", without_repeats),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+]
+
+#: Seeded hashes and a trained classifier are not to be said in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
