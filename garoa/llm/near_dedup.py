@@ -262,8 +262,8 @@ def _chunk_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         )
         for df, name in ((left, "left"), (right, "right"))
     ]
-    sent = packed[0].select("grp", "left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long").alias("chunk"))
-    pairs = sent.join(packed[1].select("grp", F.col("chunk").cast("long").alias("chunk"), "right").hint("merge"), ["grp", "chunk"])
+    sent = packed[0].select("grp", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    pairs = sent.join(packed[1].select("grp", "chunk", "right").hint("merge"), ["grp", "chunk"])
     return pairs.select("left", "right").mapInArrow(_confirm_pairs, "a long, b long")
 
 
