@@ -35,14 +35,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that loses nothing keeps its text as it is.
     """
-    cut = substring.remove_repeats(docs, docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.lit(0).alias(uuid.uuid4().hex), *others).alias("rest")
+    cut = substring.remove_repeats(docs.select("doc_id", "text", rest), ("doc_id", "text", "rest"))
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     lost = F.col("n_removed") > 0
-    changed = {"text": F.when(lost, F.col("kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
+    now = {c: F.col("rest")[c] for c in others} | {"doc_id": F.col("doc_id")}
+    now["text"] = F.when(lost, F.col("kept")).otherwise(F.col("text"))
+    if "n_chars" in others:
         size = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(lost, size).otherwise(F.col("n_chars"))
-    return cut.withColumns(changed).select(*docs.columns)
+        now["n_chars"] = F.when(lost, size).otherwise(now["n_chars"])
+    return cut.select(*[now[c].alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +55,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with ``taken``, the words it takes of each, repeats counted."""
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text", "source"))
-    taken = mixing.mix(keyed.select(F.col("row_key").alias("doc_id"), "text", "source"), F.array("source"))
-    taken = taken.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
-    some = taken.where("words > 0")
-    joined = keyed.join(some.hint("merge"), "row_key")
-    return joined.select(*docs.columns, F.floor(F.col("words") / F.col("rows")).alias("taken"))
+    key, words = uuid.uuid4().hex, uuid.uuid4().hex
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
+    chosen = mixing.mix(keyed.select(F.col(key).alias("doc_id"), "text", "source"), F.array("source"))
+    chosen = chosen.groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.avg("taken")).alias(words)).where(F.col(words) > 0)
+    kept = [c for c in docs.columns if c != "taken"]
+    return keyed.join(chosen.hint("merge"), key).select(*kept, F.col(words).alias("taken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
