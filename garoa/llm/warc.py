@@ -29,7 +29,8 @@ def page_records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     id share one file. Null url or html is empty.
     """
     url, html = (F.coalesce(c, F.lit("")) for c in ("url", "html"))
-    name = F.coalesce(F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / per_file)), F.lit("pages-none.warc"))
+    numbered = F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / per_file))
+    name = F.when(F.col("page_id").isNull(), "pages-none.warc").otherwise(numbered)
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "),
         url,
