@@ -197,7 +197,7 @@ def indices_long_form(spark, sf):
 )
 def index_grid_job(spark, sf):
     out = rain_jobs.index_grid(
-        B.grid_pr_runs(spark, sf), PARAMS, B.run_of_file(), cell_map=B.cells(spark, sf)
+        B.grid_pr_runs_gaps(spark, sf), PARAMS, B.run_of_file(), cell_map=B.cells(spark, sf)
     )
     return out.withColumn("valor", F.round("valor", 6))
 
@@ -212,9 +212,9 @@ def run_summary(spark, sf):
 
 
 def results(spark, sf) -> DataFrame:
-    """Index results of the three bound runs."""
+    """Index results of the three bound runs; cells without a year's days have NULL values."""
     return rain_jobs.index_grid(
-        B.grid_pr_runs(spark, sf), PARAMS, B.run_of_file(), cell_map=B.cells(spark, sf)
+        B.grid_pr_runs_gaps(spark, sf), PARAMS, B.run_of_file(), cell_map=B.cells(spark, sf)
     )
 
 

@@ -27,11 +27,14 @@ def query(sql: str | None, *views: str, name: str | None = None) -> Callable[[Qu
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder; temporary where none is set, as in tests."""
+    """A new folder under the shared checkpoint folder; temporary in a local session where none is set."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -80,21 +80,25 @@ def _by_edits(asked: DataFrame, known: DataFrame, shape, cutoff: float) -> DataF
     """Pairs whose edit ratio may reach the cutoff.
 
     Within ``k`` edits, one of ``k + 1`` pieces of the known name stands
-    unchanged in the asked one, at most ``k`` places away.
+    unchanged in the asked one, at most ``k`` places away; both places are keys.
     """
     loss = 1.0 - cutoff / 100.0
+    if loss == 0:
+        same = [df.select("uf", c, shape(F.col(c)).alias("same")) for df, c in ((asked, "a"), (known, "b"))]
+        return same[0].join(same[1], ["uf", "same"]).select("uf", "a", "b")
     per_letter = 2.0 * loss / (1.0 - loss)
-    longest = 10_000 if per_letter == 0 else math.ceil(1.0 / per_letter) + 1
-    pieces = known.select("uf", "b", _segments(shape(F.col("b")), per_letter).alias("s")).select(
-        "uf", "b", F.col("s.gram").alias("gram"), F.col("s.at").alias("at_b")
+    longest = math.ceil(1.0 / per_letter) + 1
+    slack = F.floor(F.length("b") * F.lit(per_letter) + F.lit(1e-9)).cast("int")
+    placed = known.select("uf", "b", _segments(shape(F.col("b")), per_letter).alias("s"))
+    pieces = placed.select(
+        "uf", "b", F.col("s.gram").alias("gram"), F.explode(F.sequence(F.col("s.at") - slack, F.col("s.at") + slack)).alias("at")
     )
     grams = asked.select(
         "uf", "a", _substrings(shape(F.col("a")), F.lit(1), F.lit(longest)).alias("s")
-    ).select("uf", "a", F.col("s.gram").alias("gram"), F.col("s.at").alias("at_a"))
+    ).select("uf", "a", F.col("s.gram").alias("gram"), F.col("s.at").alias("at"))
     la, lb = F.length("a"), F.length("b")
-    near = F.abs(F.col("at_a") - F.col("at_b")) <= F.floor(lb * F.lit(per_letter) + F.lit(1e-9))
     alike = F.abs(la - lb) <= (la + lb) * F.lit(loss) + F.lit(1e-9)
-    return grams.join(pieces, ["uf", "gram"]).filter(near & alike).select("uf", "a", "b")
+    return grams.join(pieces, ["uf", "gram", "at"]).filter(alike).select("uf", "a", "b")
 
 
 def _longest_word(name: Column) -> Column:
@@ -144,7 +148,7 @@ def _check_cutoff(cutoff: float) -> None:
 
 
 def fuzzy_pairs(names: DataFrame, municipalities: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
-    """Every ``(uf, a, b, score)`` of one UF with a score of at least ``cutoff``.
+    """Every ``(uf, a, b, score)`` of one UF with a score of at least ``cutoff``, in [67, 100].
 
     ``names`` has distinct ``uf, alvo``. Pairs come from equi-joins on shared
     pieces of the names that no pair above the cutoff can avoid sharing; all
@@ -216,7 +220,7 @@ def geocode(inputs: DataFrame, municipalities: DataFrame, cutoff: float = DEFAUL
     )
     return (
         keyed.join(broadcast_if_small(found.unionByName(close)), ["uf", "alvo"], "left")
-        .join(ufs, "uf", "left")
+        .join(broadcast_if_small(ufs), "uf", "left")
         .select(
             *inputs.columns,
             F.col("m.id").alias("municipio_id"),

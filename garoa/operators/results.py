@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.functions import numeric as N
 from garoa.operators.quantile import group_percentile
-from garoa.operators.sizing import keep
+from garoa.operators.sizing import broadcast_if_small, keep
 from garoa.params import Aggregation, Page, ResultFilter, StressFilter
 
 RESULT_ORDER = ["execucao_id", "ano", "nome_indice", "id"]
@@ -27,7 +27,7 @@ def all_of(conditions: list[Column]) -> Column:
 def join_run(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Add scenario and variable of the run; results of unknown runs go."""
     dim = runs.select(F.col("id").alias("execucao_id"), "cenario", "variavel")
-    return results.join(dim, "execucao_id")
+    return results.join(broadcast_if_small(dim), "execucao_id")
 
 
 def join_municipality(results: DataFrame, municipalities: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def join_municipality(results: DataFrame, municipalities: DataFrame) -> DataFram
     dim = municipalities.select(
         F.col("id").alias("municipio_id"), F.col("nome").alias("nome_municipio"), "uf"
     )
-    return results.join(dim, "municipio_id")
+    return results.join(broadcast_if_small(dim), "municipio_id")
 
 
 def of_uf(rows: DataFrame, municipalities: DataFrame, uf: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: A broadcast table holds at most so many bytes, as estimated from its counted rows and text.
+BROADCAST_BYTES = 128 << 20
+_VALUE_BYTES = 16
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -25,8 +27,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a narrow table is counted at no more than ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hint a broadcast when a table is measured at no more than ``BROADCAST_BYTES``.
+
+    ``max_rows`` is a further bound, for tables that the plan multiplies later.
 
     The planner guesses the size of an aggregate or a join from its inputs, so a
     handful of rows reduced from a huge grid would otherwise be shuffle-joined.
@@ -34,4 +38,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     plain join stays and the planner picks its strategy.
     """
     kept = keep(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    most = BROADCAST_BYTES // (_VALUE_BYTES * (len(df.columns) + 1))
+    most = most if max_rows is None else min(most, max_rows)
+    wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind == "string" or "<" in kind]
+    text = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
+    rows, size = kept.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= most and size <= BROADCAST_BYTES else kept

@@ -177,8 +177,9 @@ def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``points`` has distinct ``x, y``. Tiles of the polygon boxes pick the
     candidates; a ray to the east is then tested only against the edges of the
-    point's latitude band. Odd crossings mean inside, which covers holes and
-    several parts; a point on an edge is outside.
+    point's latitude band. Odd crossings of one part of one feature mean inside,
+    which covers holes; any part or feature of a municipality may hold the point,
+    also where they overlap. A point on an edge of a part is outside that part.
     """
     boxes = edges.groupBy("municipio_id").agg(
         F.least(F.min("x1"), F.min("x2")).alias("xa"),
@@ -205,8 +206,10 @@ def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     candidates = (
         placed.join(broadcast_if_small(tiles), ["tx", "ty"]).filter(inside_box).select("x", "y", "band", "municipio_id")
     )
+    part = [c for c in ("feature", "part") if c in edges.columns]
     banded = edges.select(
         "municipio_id",
+        *part,
         "x1",
         "y1",
         "x2",
@@ -224,10 +227,11 @@ def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     )
     return (
         candidates.join(banded, ["municipio_id", "band"])
-        .groupBy("x", "y", "municipio_id")
+        .groupBy("x", "y", "municipio_id", *part)
         .agg(F.count_if(crosses).alias("n"), F.max(on_edge).alias("edge"))
         .filter((F.col("n") % 2 == 1) & ~F.col("edge"))
         .select("x", "y", "municipio_id")
+        .distinct()
     )
 
 
@@ -282,10 +286,11 @@ def enrich_with_municipality(
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
-    """``(municipio_id, part, ring, coords)`` rings as one row per edge.
+    """``(municipio_id[, feature], part, ring, coords)`` rings as one row per edge.
 
     ``coords`` is an array of ``[x, y]``; an open ring is closed.
     """
+    feature = ["feature"] if "feature" in rings.columns else []
     first, last = F.element_at("coords", 1), F.element_at("coords", -1)
     closed = F.when(first == last, F.col("coords")).otherwise(F.concat("coords", F.array(first)))
     pairs = F.transform(
@@ -294,10 +299,11 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     )
     return (
         rings.filter(F.size("coords") >= 3)
-        .select("municipio_id", "part", "ring", closed.alias("c"))
-        .select("municipio_id", "part", "ring", F.posexplode(pairs).alias("k", "p"))
+        .select("municipio_id", *feature, "part", "ring", closed.alias("c"))
+        .select("municipio_id", *feature, "part", "ring", F.posexplode(pairs).alias("k", "p"))
         .select(
             F.col("municipio_id").cast("bigint").alias("municipio_id"),
+            *feature,
             F.col("part").cast("int").alias("part"),
             F.col("ring").cast("int").alias("ring"),
             "k",
@@ -316,24 +322,27 @@ def representative_point(edges: DataFrame) -> DataFrame:
     latitudes next to its middle, is cut by the part's rings into intervals; the
     middle of the widest interior interval is taken.
     """
-    parts = edges.groupBy("municipio_id", "part").agg(
+    if "feature" not in edges.columns:
+        edges = edges.withColumn("feature", F.lit(""))
+    part = ["municipio_id", "feature", "part"]
+    parts = edges.groupBy(*part).agg(
         F.min(F.least("x1", "x2")).alias("xa"),
         F.max(F.greatest("x1", "x2")).alias("xb"),
         ((F.min(F.least("y1", "y2")) + F.max(F.greatest("y1", "y2"))) / 2).alias("ym"),
     )
     widest = parts.groupBy("municipio_id").agg(
-        F.max(F.struct((F.col("xb") - F.col("xa")).alias("w"), (-F.col("part")).alias("p"), "ym")).alias("s")
-    ).select("municipio_id", (-F.col("s.p")).alias("part"), "s.ym")
-    own = edges.join(widest, ["municipio_id", "part"])
+        F.max(F.struct((F.col("xb") - F.col("xa")).alias("w"), (-F.col("part")).alias("p"), "feature", "ym")).alias("s")
+    ).select("municipio_id", "s.feature", (-F.col("s.p")).alias("part"), "s.ym")
+    own = edges.join(widest, part)
     ym, y1, y2 = F.col("ym"), F.col("y1"), F.col("y2")
-    line = own.groupBy("municipio_id", "part").agg(
+    line = own.groupBy(*part).agg(
         (
             (F.max(F.when(y1 <= ym, y1)) + F.min(F.when(y1 > ym, y1))) / 2
         ).alias("y")
     )
     y = F.col("y")
     cuts = (
-        edges.join(line, ["municipio_id", "part"])
+        edges.join(line, part)
         .filter((y1 > y) != (y2 > y))
         .select(
             "municipio_id",

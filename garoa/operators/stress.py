@@ -12,7 +12,6 @@ from garoa.params import StressParams
 
 # The three climate variables.
 VARIABLES = ("pr", "tas", "evspsbl")
-SAMPLE_IDS = 10
 
 # Which of (pr, tas, evspsbl) a municipality is mapped in -> category.
 DIVERGENCE = {
@@ -197,8 +196,8 @@ def _category() -> Column:
     return category
 
 
-def divergence_report(cell_map: DataFrame) -> DataFrame:
-    """Municipalities not mapped in all three grids: count and ten smallest ids per category.
+def divergence_report(cell_map: DataFrame, sample_ids: int = 10) -> DataFrame:
+    """Municipalities not mapped in all three grids: count and smallest ids per category.
 
     ``cell_map`` has ``variavel, municipio_id``. The rank filter is pushed below
     the shuffle by the planner, so a category never gathers in one task.
@@ -209,7 +208,7 @@ def divergence_report(cell_map: DataFrame) -> DataFrame:
     ranked = Window.partitionBy("categoria").orderBy("municipio_id")
     sample = (
         odd.withColumn("n", F.row_number().over(ranked))
-        .filter(F.col("n") <= SAMPLE_IDS)
+        .filter(F.col("n") <= sample_ids)
         .groupBy("categoria")
         .agg(F.sort_array(F.collect_list("municipio_id")).alias("amostra"))
     )

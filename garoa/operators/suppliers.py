@@ -51,19 +51,23 @@ def new_suppliers(batch: DataFrame, existing: DataFrame) -> DataFrame:
 def label_lines(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Status of every line: ``importado``, ``duplicado`` or ``erro`` with a reason.
 
-    The winners are joined back on the line number, which is unique, so a key
-    repeated on a third of the lines does not gather in one task.
+    Lines of several files may share a number; equal lines are counted and dealt
+    out again, the first as the one to import. The winners are joined back on
+    number and key, so a key repeated on a third of the lines does not gather in
+    one task.
     """
-    checked = refusal(clean_supplier(batch))
+    line = ["numero_linha", *SUPPLIER_KEY]
+    counted = refusal(clean_supplier(batch)).groupBy(*line, "motivo").agg(F.count(F.lit(1)).alias("_n"))
+    checked = counted.select(*line, "motivo", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_copy"))
     winners = new_suppliers(first_lines(checked.filter(F.col("motivo").isNull())), existing)
-    marks = winners.select("numero_linha", F.lit(True).alias("_new"))
+    marks = winners.select(*line, F.lit(True).alias("_new"))
     status = (
         F.when(F.col("motivo").isNotNull(), F.lit("erro"))
-        .when(F.col("_new"), F.lit("importado"))
+        .when(F.col("_new") & (F.col("_copy") == 1), F.lit("importado"))
         .otherwise(F.lit("duplicado"))
     )
     return (
-        checked.join(marks, "numero_linha", "left")
+        checked.join(marks, line, "left")
         .withColumn("status", status)
         .select("numero_linha", *SUPPLIER_KEY, "status", "motivo")
     )

@@ -9,7 +9,6 @@ from garoa.errors import ValidationError
 # The functions and dimensions an aggregation may name.
 AGGREGATIONS = ("media", "min", "max", "count", "p50", "p95")
 DIMENSIONS = ("ano", "cenario", "variavel", "nome_indice", "municipio")
-MAX_PAGE = 1000
 
 
 @dataclass(frozen=True)
@@ -71,14 +70,15 @@ class Radius:
 
 @dataclass(frozen=True)
 class Page:
-    """One page of an ordered listing."""
+    """One page of an ordered listing; ``most`` is the longest page the caller allows, if any."""
 
     limit: int = 100
     offset: int = 0
+    most: int | None = None
 
     def __post_init__(self) -> None:
-        if not 0 < self.limit <= MAX_PAGE:
-            raise ValidationError(f"limit must be in (0, {MAX_PAGE}], got {self.limit}")
+        if self.limit <= 0 or (self.most is not None and self.limit > self.most):
+            raise ValidationError(f"limit must be in (0, {self.most or 'any'}], got {self.limit}")
         if self.offset < 0:
             raise ValidationError(f"offset must be >= 0, got {self.offset}")
 

@@ -11,7 +11,7 @@ from garoa.operators import municipalities as M
 from garoa.operators import spatial
 from garoa.operators import suppliers as S
 from garoa.operators.results import municipalities_with_results
-from garoa.operators.sizing import broadcast_if_small
+from garoa.operators.sizing import broadcast_if_small, keep
 from garoa.schemas import MUNICIPALITY, SUPPLIER_SITE
 
 # Why an input has no coverage.
@@ -61,7 +61,7 @@ def coverage(
 ) -> DataFrame:
     """Coverage of ``identificador, cidade, uf`` inputs, one row per input."""
     asked_as = inputs.select("identificador", "cidade", "uf", F.col("uf").alias("uf_entrada"))
-    items = G.geocode(asked_as, municipalities, cutoff)
+    items = keep(G.geocode(asked_as, municipalities, cutoff))
     asked = items.select("municipio_id").filter(F.col("municipio_id").isNotNull())
     held = broadcast_if_small(municipalities_with_results(asked, results))
     return coverage_join(items, held)

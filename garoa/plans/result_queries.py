@@ -48,7 +48,7 @@ def export_stress(
     f: StressFilter,
     path: str,
     fmt: str = "csv",
-    max_rows: int = tables.EXPORT_ROWS,
+    max_rows: int | None = None,
 ) -> None:
     """Write filtered water-stress results in the fixed column order."""
     rows = R.stress_with_municipality(R.filter_stress(stress, f, municipalities), municipalities)

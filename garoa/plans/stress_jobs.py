@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garoa.errors import GridReadError
 from garoa.functions import text as X
 from garoa.operators import stress
+from garoa.operators.sizing import broadcast_if_small, keep
 from garoa.params import StressParams
 from garoa.schemas import WATER_STRESS
+from garoa.sinks import tables
+from garoa.sources.grid import read_three_folders
 
 
 def stress_rows(indices: DataFrame, execucao_id: Column) -> DataFrame:
@@ -28,8 +32,15 @@ def stress_rows(indices: DataFrame, execucao_id: Column) -> DataFrame:
 def water_stress_days(
     grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...] = ("variavel", "iy", "ix")
 ) -> DataFrame:
-    """Units, overlap rule, spatial means and alignment of a three-variable grid."""
+    """Calendar, units, overlap rule, spatial means and alignment of a three-variable grid.
+
+    Days that do not exist in the common calendar go.
+    """
     three = grid.filter(F.col("variavel").isin(*stress.VARIABLES))
+    if "cal_year" in three.columns:
+        own = three.filter(F.col("cal_year").isNotNull())
+        three = stress.normalize_calendar(own).unionByName(three.filter(F.col("cal_year").isNull()))
+    three = three.filter(F.col("t").isNotNull())
     return stress.municipality_days(stress.keep_first_file(stress.canonical_units(three)), cell_map, on)
 
 
@@ -40,7 +51,12 @@ def water_stress_run(
     execucao_id: Column,
     on: tuple[str, ...] = ("variavel", "iy", "ix"),
 ) -> DataFrame:
-    """Stored rows of one run over a grid that holds ``pr``, ``tas`` and ``evspsbl``."""
+    """Stored rows of one run over a grid that holds ``pr``, ``tas`` and ``evspsbl``.
+
+    Raises when the three share no time step; that reads the time columns alone.
+    """
+    checks = scenario_checks(grid.withColumn("cenario_arquivo", F.lit(None).cast("string")))
+    stress.require_rows(checks.filter("dias_comuns > 0"), "the three variables share no time step")
     return stress_rows(stress.water_stress(water_stress_days(grid, cell_map, on), params), execucao_id)
 
 
@@ -53,7 +69,7 @@ def scenario_checks(grid: DataFrame) -> DataFrame:
     own = F.col("cenario_arquivo")
     wrong = own.isNotNull() & (own != X.UNKNOWN_SCENARIO) & (own != F.col("cenario"))
     flags = [F.max(F.col("variavel") == v).alias(f"_{v}") for v in stress.VARIABLES]
-    steps = grid.groupBy("cenario", "t").agg(F.max(wrong).alias("_wrong"), *flags)
+    steps = grid.filter(F.col("t").isNotNull()).groupBy("cenario", "t").agg(F.max(wrong).alias("_wrong"), *flags)
     shared = F.col("_pr") & F.col("_tas") & F.col("_evspsbl")
     verdict = steps.groupBy("cenario").agg(
         F.max("_wrong").alias("_wrong"), F.count_if(shared).alias("dias_comuns")
@@ -70,11 +86,42 @@ def water_stress_batch(
     params: StressParams,
     on: tuple[str, ...] = ("variavel", "iy", "ix"),
 ) -> tuple[DataFrame, DataFrame]:
-    """All scenarios of ``grid`` in one plan: (results, one check row per scenario)."""
-    checks = scenario_checks(grid)
-    good = checks.filter("ok").select("cenario")
-    days = water_stress_days(grid, cell_map, on).join(good, "cenario", "left_semi")
-    return stress.water_stress(days, params), checks
+    """All scenarios of ``grid`` in one plan: (results, one check row per scenario).
+
+    Rows of scenarios that fail their checks go before anything is shuffled.
+    """
+    checks = keep(scenario_checks(grid))
+    good = broadcast_if_small(checks.filter("ok").select("cenario"))
+    usable = grid.join(good, "cenario", "left_semi")
+    return stress.water_stress(water_stress_days(usable, cell_map, on), params), checks
+
+
+def water_stress_from_folders(
+    spark: SparkSession,
+    folders: dict[str, dict[str, str]],
+    cell_map: DataFrame,
+    params: StressParams,
+    path: str,
+    on: tuple[str, ...] = ("variavel", "iy", "ix"),
+    **given,
+) -> tuple[DataFrame, DataFrame]:
+    """Read, compute and replace one stored run per scenario: (one row per scenario, divergence report).
+
+    ``folders`` has a folder per variable of each scenario. A folder that cannot
+    be used fails its own scenario only and says why. Running again replaces the
+    same runs.
+    """
+    states = []
+    for cenario, three in folders.items():
+        run_id, reason = f"estresse_{cenario}", None
+        try:
+            grid = read_three_folders(spark, three, cenario, **given)
+            tables.replace_run(water_stress_run(grid, cell_map, params, F.lit(run_id), on), path, run_id)
+        except GridReadError as error:
+            reason = str(error)
+        states.append((cenario, run_id, reason is None, reason))
+    done = spark.createDataFrame(states, "cenario string, execucao_id string, ok boolean, motivo string")
+    return done, stress.divergence_report(cell_map)
 
 
 def stress_run_summary(rows: DataFrame) -> DataFrame:

@@ -13,8 +13,6 @@ from garoa.errors import DuplicateKeyError, ExportLimitError, ValidationError
 from garoa.operators.rain import CELL
 from garoa.operators.results import STRESS_ORDER
 
-EXPORT_ROWS = 200_000
-
 # Column order of a water-stress export.
 EXPORT_COLUMNS = (
     "id",
@@ -75,7 +73,7 @@ def write_grid(df: DataFrame, table: str, buckets: int) -> None:
     )
 
 
-def check_export_limit(df: DataFrame, max_rows: int = EXPORT_ROWS) -> DataFrame:
+def check_export_limit(df: DataFrame, max_rows: int) -> DataFrame:
     """Raise when a frame has more than ``max_rows`` rows (reads no more than needed)."""
     if df.limit(max_rows + 1).count() > max_rows:
         raise ExportLimitError(f"the export exceeds {max_rows} rows; narrow the filters")
@@ -87,9 +85,11 @@ def export_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(*STRESS_ORDER).select(*EXPORT_COLUMNS)
 
 
-def export_results(df: DataFrame, path: str, fmt: str = "csv", max_rows: int = EXPORT_ROWS) -> None:
-    """Write an export as CSV (NULL as an empty field) or as JSON objects."""
-    out = export_rows(check_export_limit(df, max_rows)).write.mode("overwrite")
+def export_results(df: DataFrame, path: str, fmt: str = "csv", max_rows: int | None = None) -> None:
+    """Write an export as CSV (NULL as an empty field) or as JSON objects, of any size unless limited."""
+    if max_rows is not None:
+        check_export_limit(df, max_rows)
+    out = export_rows(df).write.mode("overwrite")
     if fmt == "csv":
         out.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif fmt == "json":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +67,8 @@ def as_grid(
 
     Missing columns fail here, without reading any data. The scenario comes from
     the file name and the attribute columns unless given. Calendars other than
-    the common one bring ``cal_year, cal_month, cal_day`` instead of ``time``;
-    their year is the calendar's own.
+    the common one bring ``cal_year, cal_month, cal_day[, cal_hour]`` instead of
+    ``time``; their year is the calendar's own. A missing file name is empty.
     """
     columns = df.columns
     lat, lon = _coordinates(columns)
@@ -89,11 +90,12 @@ def as_grid(
             return column
         return F.col(name) if name in columns else default
 
-    name = given(arquivo, "arquivo", F.lit(None).cast("string"))
+    name = F.coalesce(given(arquivo, "arquivo", F.lit("")), F.lit(""))
     attrs = [F.col(a) for a in SCENARIO_ATTRS if a in columns]
-    guessed = X.infer_scenario(F.coalesce(name, F.lit("")), attrs, prefer)
+    guessed = X.infer_scenario(name, attrs, prefer)
     if time is None:
-        t = N.calendar_timestamp(F.col("cal_year"), F.col("cal_month"), F.col("cal_day"))
+        hour = F.col("cal_hour") if "cal_hour" in columns else None
+        t = N.calendar_timestamp(F.col("cal_year"), F.col("cal_month"), F.col("cal_day"), hour)
     else:
         t = F.col(time).cast("timestamp_ntz")
     year = F.col("cal_year").cast("int") if own_calendar else F.year(t)
@@ -164,19 +166,18 @@ def read_grid_folder(
     expected = cenario.strip().lower()
     try:
         df = _load(spark, folder, fmt, schema)
-        files = df.inputFiles()
-    except Exception as error:
+        seen = df.select(F.col("_metadata.file_name").alias("arquivo")).distinct()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise EmptyFolderError(f"no readable grid files in {folder}") from error
-    if not files:
-        raise EmptyFolderError(f"no grid files in {folder}")
     df = df.withColumn("arquivo", F.col("_metadata.file_name"))
     attrs = [F.col(a) for a in SCENARIO_ATTRS if a in df.columns]
     own = X.infer_scenario(F.col("arquivo"), attrs, prefer="attrs")
     if attrs:
         labels = df.select("arquivo", own.alias("cenario"))
     else:
-        names = spark.createDataFrame([(f.rsplit("/", 1)[-1],) for f in files], "arquivo string")
-        labels = names.select("arquivo", own.alias("cenario"))
+        labels = seen.select("arquivo", own.alias("cenario"))
     wrong = labels.filter(~F.col("cenario").isin(expected, X.UNKNOWN_SCENARIO)).head(1)
     if wrong:
         raise InconsistentScenarioError(f"{wrong[0]['arquivo']}: {wrong[0]['cenario']}, expected {expected}")

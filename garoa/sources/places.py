@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +74,49 @@ def supplier_lines(df: DataFrame) -> DataFrame:
     )
 
 
+def csv_records(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``numero_linha, record`` of the physical lines ``value`` of a CSV file, in order.
+
+    A record ends at a line end outside quotes; every record counts, blank ones
+    too. Quotes and records are summed inside blocks of lines, then over blocks.
+    """
+    numbered = number_lines(lines, "_n", 0).withColumn("_block", F.floor(F.col("_n") / block))
+
+    def before(df: DataFrame, amount: Column, name: str) -> DataFrame:
+        inside = Window.partitionBy("_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+        over = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = df.groupBy("_block").agg(F.sum(amount).alias("_sum"))
+        offset = sums.select("_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))
+        own = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+        return df.withColumn(name, own).join(offset, "_block").withColumn(name, F.col(name) + F.col("_off")).drop("_off")
+
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    opened = before(numbered.withColumn("_q", quotes), F.col("_q"), "_quotes")
+    starts = (F.col("_quotes") % 2 == 0).cast("bigint")
+    counted = before(opened.withColumn("_start", starts), F.col("_start"), "_before")
+    record = (F.col("_before") + F.col("_start")).alias("numero_linha")
+    parts = counted.groupBy(record).agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_lines"))
+    return parts.select("numero_linha", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"))
+
+
 def read_suppliers_csv(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """Supplier lines of a CSV file with a header."""
-    raw = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"').csv(path)
-    return supplier_lines(raw)
+    """Supplier lines of a CSV file with a header; a quoted field may span lines.
+
+    Records are numbered from the header's 1, blank ones included.
+    """
+    records = csv_records(spark.read.option("encoding", encoding).text(path))
+    head = records.filter(F.col("numero_linha") == 1).head()
+    names = next(csv.reader([head.record], delimiter=sep), []) if head else []
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if not names:
+        return spark.createDataFrame([], SUPPLIER_LINES)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = F.from_csv("record", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    rows = records.filter("numero_linha > 1").select("numero_linha", parsed.alias("r"))
+    unique = [n if n not in names[:i] else f"{n}#{i}" for i, n in enumerate(names)]
+    return supplier_lines(rows.select("numero_linha", *[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(unique)]))
 
 
 def parse_city_list(lines: DataFrame) -> DataFrame:
@@ -179,7 +218,8 @@ def _feature_struct() -> T.StructType:
 
 
 def geojson_rings(features: DataFrame) -> DataFrame:
-    """``municipio_id, uf, nome, part, ring, coords`` of features with ``properties, geometry``."""
+    """``municipio_id, uf, nome[, feature], part, ring, coords`` of features with ``properties, geometry[, feature]``."""
+    own = ["feature"] if "feature" in features.columns else []
     simple = F.struct(
         F.col("geometry.type").alias("type"), F.col("geometry.coordinates").alias("coordinates")
     )
@@ -194,17 +234,19 @@ def geojson_rings(features: DataFrame) -> DataFrame:
         property_of(POLYGON_ID).alias("municipio_id"),
         property_of(POLYGON_UF).alias("uf"),
         property_of(POLYGON_NAME).alias("nome"),
+        *own,
         F.posexplode(shapes).alias("shape", "g"),
     )
     polygons = F.when(
         F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", _POLYGON))
     ).when(F.col("g.type") == "MultiPolygon", F.from_json("g.coordinates", f"array<{_POLYGON}>"))
     return (
-        flat.select("municipio_id", "uf", "nome", "shape", F.posexplode(polygons).alias("piece", "rings"))
+        flat.select("municipio_id", "uf", "nome", *own, "shape", F.posexplode(polygons).alias("piece", "rings"))
         .select(
             "municipio_id",
             "uf",
             "nome",
+            *own,
             (F.col("shape") * 100_000 + F.col("piece")).alias("part"),
             F.posexplode("rings").alias("ring", "coords"),
         )
@@ -222,7 +264,9 @@ def read_municipality_polygons(spark: SparkSession, path: str, multi_line: bool
     raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     single = F.struct(*[F.col(f.name) for f in feature.fields])
     many = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.array(single))
-    features = raw.select(F.explode(many).alias("f")).select("f.properties", "f.geometry")
+    place = F.concat_ws("-", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string"))
+    numbered = raw.select(place.alias("place"), F.posexplode(many).alias("n", "f"))
+    features = numbered.select("f.properties", "f.geometry", F.concat_ws("-", "place", "n").alias("feature"))
     return ring_edges(require_id(geojson_rings(features)))
 
 
