@@ -4,15 +4,17 @@ A document is the set of its distinct five-word shingles, embedded as 64 minwise
 tokens. Each tree chooses tokens at its root and sends a document to one child
 per chosen token, named by the token's value; a child that is still large
 chooses further tokens by its own path. Two sets of Jaccard likeness 0.75 stay
-together at a node with 2 chosen tokens with probability 0.94, down four levels
-with at least 0.89, in at least one of 4 independent trees with more than 0.999.
-Small nodes are compared exhaustively on their tokens. What these comparisons
-connect is then confirmed on the full sets, so every link is exact.
+together at a node with 2 chosen tokens with probability 0.94, down three levels
+with 0.90, in at least one of 4 independent trees with 0.9999. Small nodes are
+compared exhaustively on their tokens; what this connects, and nodes that no
+level divides, are the groups within which full sets are compared, so every link
+is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ SHARE = 75
 TOKENS = 64
 TREES = 4
 CHOSEN = 2
-DEPTH = 5
+DEPTH = 3
 SMALL_NODE = 100
 #: Tokens that must agree for a pair to be confirmed on full sets: half of them, which lies 4.6
 #: standard deviations below what likeness 0.75 gives.
@@ -85,37 +87,21 @@ def _children(path: Column, level: int) -> Column:
     return F.array(*[F.xxhash64(path, F.lit(level), F.lit(tree), at, F.element_at("tokens", at + 1)) for at, tree in picks])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose tokens agree often enough and whose sizes allow the likeness."""
-    for batch in batches:
-        left, right = (
-            np.asarray(batch.column(c).flatten()).reshape(-1, TOKENS) for c in ("tokens_a", "tokens_b")
-        )
-        m, n = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
-        keep = ((left == right).sum(1) >= AGREE) & (100 * np.minimum(m, n) >= SHARE * np.maximum(m, n))
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
 def _node_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every likely pair of a node's two chunks, reduced to links that connect the same documents."""
+    """Every pair of a small node whose tokens agree often enough, reduced to links that connect the same."""
     for batch in batches:
-        a, b = [], []
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            x = left.values
-            y = right.values
-            sides = []
-            for side in (x, y):
-                ids = side.field("id").to_numpy()
-                sizes = side.field("n").to_numpy()
-                sides.append((ids, sizes, np.asarray(side.field("tokens").flatten()).reshape(-1, TOKENS)))
-            (i1, n1, t1), (i2, n2, t2) = sides
-            for r in range(len(i1)):
-                hit = ((t2 == t1[r]).sum(1) >= AGREE) & (100 * np.minimum(n2, n1[r]) >= SHARE * np.maximum(n2, n1[r]))
-                hit &= i2 != i1[r]
-                found = i2[hit]
-                a.extend([i1[r]] * len(found))
-                b.extend(found.tolist())
-        yield arrow_batch(_forest(np.array(a, np.int64), np.array(b, np.int64)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members in batch.column("members"):
+            part = members.values
+            ids, sizes = (part.field(c).to_numpy() for c in ("id", "n"))
+            tokens = np.asarray(part.field("tokens").flatten()).reshape(-1, TOKENS)
+            for r in range(len(ids) - 1):
+                size = sizes[r + 1 :]
+                hit = (tokens[r + 1 :] == tokens[r]).sum(1) >= AGREE
+                hit &= 100 * np.minimum(size, sizes[r]) >= SHARE * np.maximum(size, sizes[r])
+                b.append(ids[r + 1 :][hit])
+                a.append(np.full(len(b[-1]), ids[r]))
+        yield arrow_batch(_forest(np.concatenate(a), np.concatenate(b)))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
@@ -135,53 +121,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"a": ids[label[keep]], "b": ids[keep]}
 
 
-def _compare_chunks(nodes: DataFrame) -> DataFrame:
-    """All pairs of ``nodes(node, chunk, id, n, tokens)`` that share a node, chunk against chunk."""
-    member = F.struct("id", "n", "tokens")
-    chunks = nodes.groupBy("node", "chunk").agg(F.collect_list(member).alias("members"))
-    left = chunks.select("node", F.col("chunk").alias("c1"), F.col("members").alias("left"))
-    right = chunks.select("node", F.col("chunk").alias("c2"), F.col("members").alias("right"))
-    pairs = left.join(right.hint("merge"), "node").where("c1 <= c2").select("left", "right")
-    return pairs.mapInArrow(_node_links, "a long, b long")
-
-
 def likely_links(sketched: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect all documents the trees find likely alike.
 
-    ``sketched(id, n, tokens)`` has a row per distinct word sequence. At each
-    node all members are compared with its least id, small nodes exhaustively.
-    Large nodes whose members this does not connect branch on. Nodes still
-    large at the last level are compared chunk by chunk.
+    ``sketched(id, n, tokens)`` has a row per distinct word sequence. Nodes of
+    the same members count once. Small nodes are compared exhaustively, large
+    ones branch on; those still large at the last level connect all members, to
+    be told apart on full sets. Members of a node are counted, never gathered,
+    unless it is small.
     """
-    links, nodes = None, sketched.select("id", "n", "tokens", F.explode(_children(F.lit(0), 0)).alias("node"))
+    nodes = sketched.select("id", "tokens", F.explode(_children(F.lit(0), 0)).alias("node"))
+    small = []
     for level in range(1, DEPTH + 1):
-        size = nodes.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
-        shared = checkpointed(nodes.select("node", "id").join(size.hint("merge"), "node"))
-        pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        found = pairs.join(_side(sketched, "a"), "a").join(_side(sketched, "b"), "b").mapInArrow(_likely, "a long, b long")
-        small = shared.where(f"m between 3 and {SMALL_NODE}").select("node", "id", F.lit(0).alias("chunk"))
-        found = found.union(_compare_chunks(small.join(sketched.hint("merge"), "id")))
-        links = checkpointed(found if links is None else links.union(found))
-        large = shared.where(f"m > {SMALL_NODE}").select("node", "id", "m")
-        if large.isEmpty():
-            return links
-        large = checkpointed(_unconnected(large, links).join(sketched.hint("merge"), "id"))
-        nodes = large.select("id", "n", "tokens", F.explode(_children(F.col("node"), level)).alias("node"))
-    spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK))
-    return checkpointed(links.union(_compare_chunks(large.withColumn("chunk", spread))))
-
-
-def _side(sketched: DataFrame, c: str) -> DataFrame:
-    """Sketches as one end of a pair; never broadcast."""
-    named = sketched.select(F.col("id").alias(c), F.col("n").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    return named.hint("merge")
-
-
-def _unconnected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows ``node, id, m`` of nodes with members that the links do not connect."""
-    named = nodes.join(components(links).hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    state = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return nodes.join(state.select("node").hint("merge"), "node")
+        same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("pivot"), F.max("id").alias("top")]
+        sizes = nodes.groupBy("node").agg(*same).where("m > 1").groupBy("m", "mark", "pivot", "top").agg(F.min("node").alias("node"))
+        shared = checkpointed(nodes.select("node", "id").join(sizes.select("node", "m", "pivot").hint("merge"), "node"))
+        small.append(shared.where(F.col("m") <= SMALL_NODE).select("node", "id"))
+        large = shared.where(F.col("m") > SMALL_NODE)
+        if level == DEPTH or large.isEmpty():
+            break
+        held = large.select("node", "id").join(sketched.hint("merge"), "id")
+        nodes = held.select("id", "tokens", F.explode(_children(F.col("node"), level)).alias("node"))
+    members = reduce(DataFrame.union, small).join(sketched.hint("merge"), "id")
+    gathered = members.groupBy("node").agg(F.collect_list(F.struct("id", "n", "tokens")).alias("members"))
+    found = gathered.select("members").mapInArrow(_node_links, "a long, b long")
+    dense = large.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    return checkpointed(found.union(dense).distinct())
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +232,8 @@ def _chunk_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(_confirm_pairs, "a long, b long")
 
 
-def confirmed_links(likely: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` with the same connections as all pairs of likeness 0.75 inside likely groups.
+def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, component`` of documents linked by likeness 0.75 on full sets, inside likely groups.
 
     A group of at most one chunk is compared in one task. A larger group is
     compared with one chunk of it first, which is linear; only documents that
@@ -282,20 +247,20 @@ def confirmed_links(likely: DataFrame, docs: DataFrame) -> DataFrame:
     one = texts.where("chunks = 1").select("grp", "id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = one.repartition(parts, "grp").sortWithinPartitions("grp", "id").mapInArrow(_confirm_groups, "a long, b long")
+    small = small.select(F.col("b").alias("id"), F.col("a").alias("component"))
     many = texts.where("chunks > 1")
     if many.isEmpty():
         return checkpointed(small)
     probe = many.where(F.pmod(F.xxhash64("id"), "chunks") == 0)
-    links = checkpointed(small.union(_chunk_pairs(probe, many)))
+    links = checkpointed(_chunk_pairs(probe, many))
     label = many.select("grp", "id").distinct().join(components(links).hint("merge"), "id", "left")
     label = label.withColumn("component", F.coalesce("component", "id"))
     parts_of = label.groupBy("grp", "component").agg(F.count("*").alias("k"))
     largest = parts_of.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     outside = label.join(largest.hint("merge"), "grp").where("component <> largest").select("id")
-    rest = checkpointed(many.join(outside.hint("merge"), "id", "left_semi"))
-    if rest.isEmpty():
-        return links
-    return checkpointed(links.union(_chunk_pairs(rest, many)))
+    rest = many.join(outside.hint("merge"), "id", "left_semi")
+    links = checkpointed(links.union(_chunk_pairs(rest, many)))
+    return checkpointed(small.union(components(links)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,11 +279,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
     )
     classes = checkpointed(classes)
-    copies = filled.select("doc_id", "high", "low").join(classes.select("high", "low", "id").hint("merge"), ["high", "low"])
-    copies = copies.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links = confirmed_links(likely_links(classes.select("id", "n", "tokens")), docs)
-    labels = components(checkpointed(links.union(copies))).withColumnRenamed("id", "doc_id")
-    out = sketched.select("doc_id", "n_shingles").join(labels.hint("merge"), "doc_id", "left")
+    labels = confirmed(likely_links(classes.select("id", "n", "tokens")), docs)
+    classed = filled.select("doc_id", "high", "low").join(classes.select("high", "low", "id").hint("merge"), ["high", "low"])
+    named = classed.join(labels.hint("merge"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    each = checkpointed(named.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other")))
+    split = each.where("component <> other")
+    if not split.isEmpty():
+        merged = checkpointed(named.select(F.col("component").alias("a"), F.col("doc_id").alias("b")))
+        each = components(merged).select(F.col("id").alias("doc_id"), "component")
+    out = sketched.select("doc_id", "n_shingles").join(each.select("doc_id", "component").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
