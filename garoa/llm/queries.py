@@ -26,10 +26,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage of a replica of all pages as WARC records: every 50th page changed, lost, or only there."""
-    records = warc.page_records(table(spark, sf_dir, "pages"))
+    changed = F.sha2(F.concat(F.lit("WARC/1.1"), F.substring("payload", 9, 2147483647)), 256)
+    records = warc.page_records(table(spark, sf_dir, "pages"), changed=changed)
     turn = F.coalesce(F.pmod("page_id", F.lit(50)), F.lit(0))
-    changed = F.concat(F.lit("WARC/1.1"), F.substring("payload", 9, 2147483647))
-    copy = records.where(turn != 2).withColumn("payload", F.when(turn == 1, changed).otherwise(F.col("payload")))
+    copy = records.where(turn != 2).withColumn("payload_sha256", F.when(turn == 1, F.col("changed")).otherwise(F.col("payload_sha256")))
     return warc.audit(records.where(turn != 3), copy)
 
 

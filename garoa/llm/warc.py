@@ -22,15 +22,9 @@ FAN = 4
 FILE_DIGITS = 2
 
 
-def page_records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
-    """``file, offset, length, page_id, payload``: one response record per row of ``pages(page_id, url, html, ...)``.
-
-    A file holds the pages of ``per_file`` consecutive ids, by id; pages without
-    id share one file. Null url or html is empty.
-    """
+def page_payload() -> Column:
+    """A page of ``url, html`` as a WARC resource record; null is empty."""
     url, html = (F.coalesce(c, F.lit("")) for c in ("url", "html"))
-    numbered = F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / per_file))
-    name = F.when(F.col("page_id").isNull(), "pages-none.warc").otherwise(numbered)
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "),
         url,
@@ -38,9 +32,22 @@ def page_records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
         F.octet_length(html).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    made = pages.select("page_id", name.alias("file"), F.concat(head, html, F.lit("\r\n\r\n")).alias("payload"))
-    made = made.withColumn("length", F.octet_length("payload").cast("long"))
-    before = Window.partitionBy("file").orderBy("page_id", F.sha2("payload", 256)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.concat(head, html, F.lit("\r\n\r\n"))
+
+
+def page_records(pages: DataFrame, per_file: int = 1000, **more: Column) -> DataFrame:
+    """``file, offset, length, page_id, payload_sha256``: one record per row of ``pages(page_id, url, html, ...)``.
+
+    A file holds the pages of ``per_file`` consecutive ids, by id; pages without
+    id share one file. Columns in ``more`` are made from ``payload``; the
+    payload itself is not moved.
+    """
+    numbered = F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / per_file))
+    name = F.when(F.col("page_id").isNull(), "pages-none.warc").otherwise(numbered)
+    made = pages.select("page_id", name.alias("file"), page_payload().alias("payload"))
+    hashed = {"length": F.octet_length("payload").cast("long"), "payload_sha256": F.sha2("payload", 256)}
+    made = made.withColumns(hashed | more).drop("payload")
+    before = Window.partitionBy("file").orderBy("page_id", "payload_sha256").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
@@ -49,7 +56,8 @@ def leaves(replica: DataFrame, side: str) -> DataFrame:
 
     Records without an offset are spread below 0 by their digest.
     """
-    digest = F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.sha2(F.coalesce("payload", F.lit("")), 256)), 256)
+    own = F.col("payload_sha256") if "payload_sha256" in replica.columns else F.sha2(F.coalesce("payload", F.lit("")), 256)
+    digest = F.sha2(F.concat_ws("|", F.col("length").cast("string"), own), 256)
     named = replica.select(F.lit(side).alias("side"), F.coalesce("file", F.lit("")).alias("name"), "offset", "length", digest.alias("digest"))
     part = F.coalesce("offset", -1 - F.pmod(F.xxhash64("digest"), F.lit(1 << 40)))
     return named.select("side", "name", part.alias("part"), "length", "digest").distinct()
@@ -83,7 +91,8 @@ def build(records: DataFrame, ranges: int) -> list[DataFrame]:
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """``file, offset, status, left_length, left_digest, right_length, right_digest`` of every damaged record.
 
-    ``left`` and ``right`` are replicas ``file, offset, length, payload, ...``.
+    ``left`` and ``right`` are replicas ``file, offset, length, payload, ...``, or
+    with ``payload_sha256`` for a payload hashed where it lies.
     Status is ``changed``, ``missing`` (only on the left) or ``extra`` (only on
     the right). A null file or payload counts as empty; records without offset
     are compared by their digest. Equal repeated rows count once; of several

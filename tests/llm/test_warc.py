@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from garoa.llm import warc
 
 SCHEMA = "file string, offset long, length long, payload string, side string, name string"
@@ -64,7 +67,9 @@ def test_nulls_ties_and_no_rows(spark):
 
 def test_records_of_pages(spark):
     pages = spark.createDataFrame([(1, "u", "é"), (2, None, None), (None, "v", "x"), (1500, "w", "y")], "page_id long, url string, html string")
-    rows = {r.page_id: r for r in warc.page_records(pages).collect()}
-    assert rows[1].payload.endswith("Content-Length: 2\r\n\r\né\r\n\r\n") and rows[1].length == len(rows[1].payload.encode())
+    rows = {r.page_id: r for r in warc.page_records(pages, payload_copy=F.col("payload")).collect()}
+    text = rows[1].payload_copy
+    assert text.endswith("Content-Length: 2\r\n\r\né\r\n\r\n") and rows[1].length == len(text.encode())
+    assert rows[1].payload_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert (rows[1].offset, rows[2].offset, rows[2].file) == (0, rows[1].length, rows[1].file)
     assert rows[None].file == "pages-none.warc" and rows[1500].file == "pages-00000001.warc"
