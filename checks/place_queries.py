@@ -76,6 +76,20 @@ def locate_summary(spark, sf):
     return spatial.locate_summary(spatial.locate_points(B.points(spark, sf), B.edges(spark, sf)))
 
 
+@query(
+    f"""SELECT ponto_id, p.lat, p.lon, min(b.municipio_id) AS municipio_id, min(b.municipio_id) IS NOT NULL AS encontrado
+    FROM points p LEFT JOIN (SELECT * FROM boxes UNION ALL SELECT municipio_id, x0 + 0.4375, y0 + 0.1875, hole FROM boxes) b
+      ON {B.inside_sql('p.lon', 'p.lat')} GROUP BY 1, 2, 3""",
+    "points",
+    "boxes",
+)
+def locate_points_in_overlapping_features(spark, sf):
+    rings = B.rings(spark, sf)
+    moved = F.transform("coords", lambda c: F.array(c[0] + 0.4375, c[1] + 0.1875))
+    both = rings.withColumn("feature", F.lit("a")).unionByName(rings.withColumns({"coords": moved, "feature": F.lit("b")}))
+    return spatial.locate_points(B.points(spark, sf), spatial.ring_edges(both))
+
+
 _MAPPED = f"""SELECT c.iy, c.ix, min(b.municipio_id) AS municipio_id FROM (SELECT *, ((lon + 180) % 360) - 180 AS x FROM cells) c
     JOIN boxes b ON {B.inside_sql('c.x', 'c.lat')} GROUP BY 1, 2"""
 
@@ -269,6 +283,19 @@ def import_suppliers(spark, sf):
     return labelled
 
 
+@query(
+    _LABELLED.replace("FROM supplier_batch)", "FROM (SELECT * FROM supplier_batch UNION ALL SELECT nome, CASE WHEN cidade = '' THEN '' ELSE cidade || ' X' END, uf, numero_linha FROM supplier_batch))"),
+    "supplier_batch",
+    "suppliers",
+)
+def import_suppliers_of_two_files(spark, sf):
+    """Two files whose lines have the same numbers."""
+    batch = B.supplier_batch(spark, sf)
+    other = batch.withColumn("cidade", F.when(F.col("cidade") == "", "").otherwise(F.concat("cidade", F.lit(" X"))))
+    _, labelled = P.import_suppliers(batch.unionByName(other), B.suppliers(spark, sf))
+    return labelled
+
+
 @query(
     f"SELECT nome, cidade, uf, 'forn_' || substr(md5(nome || '|' || cidade || '|' || uf), 1, 26) AS id FROM ({_LABELLED}) WHERE status = 'importado'",
     "supplier_batch",

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import bindings as B
 from checks.rain_queries import day
-from checks.registry import query
+from checks.registry import query, scratch
 from garoa.functions import numeric as N
 from garoa.operators import results as R
 from garoa.operators import stress as S
 from garoa.params import Page, StressFilter, StressParams
 from garoa.plans import result_queries, stress_jobs
+from garoa.sources import grid as G
 
 PARAMS = StressParams(limiar_pr_mm_dia=10.0, limiar_tas_c=30.0)
 _DAY = "strftime(t, '%Y-%m-%d') AS dia"
@@ -188,6 +189,54 @@ def water_stress_job(spark, sf):
     return stored(spark, sf).drop("criado_em")
 
 
+_CAL_DAY = "CAST(dayofyear(t) * 7 % 30 + 1 AS INTEGER)"
+_360 = f"""SELECT cenario, m.municipio_id, d AS t, avg(valor) FILTER (WHERE variavel = 'pr') AS pr,
+    avg(valor) FILTER (WHERE variavel = 'tas') AS tas, avg(valor) FILTER (WHERE variavel = 'evspsbl') AS evap
+    FROM (SELECT *, try_cast(printf('%04d-%02d-%02d', year(t), month(t), {_CAL_DAY}) AS DATE) AS d FROM grid_three) g
+    JOIN cell_map m USING (variavel, iy, ix) WHERE d IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT variavel) = 3"""
+
+
+@query(
+    f"SELECT cenario, municipio_id, ano, dias_secos_quentes, {_ROUNDED} FROM ({B.stress_sql('(' + _360 + ')')})",
+    "grid_three",
+    "cell_map",
+)
+def water_stress_360_day(spark, sf):
+    """A calendar of 30-day months, read from wide tables: days that do not exist go."""
+    whole = B.grid_three(spark, sf)
+    parts = {
+        "cal_year": F.year("t"), "cal_month": F.month("t"),
+        "cal_day": (F.dayofyear("t") * 7 % 30 + 1).cast("int"), "cal_hour": F.lit(0),
+    }
+    raw = whole.withColumns(parts).drop("t", "ano")
+    grids = [G.as_grid(raw, v, calendario=F.lit("360_day")) for v in S.VARIABLES]
+    grid = grids[0].unionByName(grids[1]).unionByName(grids[2])
+    days = stress_jobs.water_stress_days(grid, B.cell_map(spark, sf))
+    return rounded(S.water_stress(days, PARAMS), "intensidade_mm_dia", "deficit_total_mm")
+
+
+@query(_STORED.replace("exec_1", "estresse_rcp45"), "stress")
+def water_stress_from_folders(spark, sf):
+    """Folders to a stored run, twice; a scenario without files fails alone."""
+    base = scratch(spark, "folders")
+    three = {v: f"{base}/{v}" for v in S.VARIABLES}
+    for grid in (B.grid_pr(spark, sf), B.grid_tas(spark, sf), B.grid_evap(spark, sf)):
+        name = grid.select("variavel").first()[0]
+        grid.drop("cenario", "arquivo", "ano").write.parquet(three[name])
+    folders = {"rcp45": three, "ssp585": {v: f"{base}/none" for v in S.VARIABLES}}
+    for _ in range(2):
+        done, _ = stress_jobs.water_stress_from_folders(
+            spark, folders, B.cell_map(spark, sf), PARAMS, f"{base}/stored"
+        )
+    if [(r.cenario, r.ok) for r in done.orderBy("cenario").collect()] != [("rcp45", True), ("ssp585", False)]:
+        raise ValueError("a folder without files must fail its own scenario only")
+    stored_rows = spark.read.parquet(f"{base}/stored").select(
+        "id", "execucao_id", F.col("municipio_id").cast("long").alias("municipio_id"), "ano", "cenario",
+        "frequencia_dias_secos_quentes", "intensidade_mm_dia",
+    )
+    return rounded(stored_rows, "intensidade_mm_dia")
+
+
 def two_scenarios(spark, sf):
     """A second scenario whose evaporation is stamped at noon."""
     grid = B.grid_three(spark, sf).withColumn("cenario_arquivo", F.lit("unknown"))

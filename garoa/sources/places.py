@@ -106,7 +106,8 @@ def read_suppliers_csv(
 
     Records are numbered from the header's 1, blank ones included.
     """
-    records = csv_records(spark.read.option("encoding", encoding).text(path))
+    raw = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    records = csv_records(raw)
     head = records.filter(F.col("numero_linha") == 1).head()
     names = next(csv.reader([head.record], delimiter=sep), []) if head else []
     fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])

@@ -230,3 +230,35 @@ def test_coverage_reasons_keep_every_input(spark):
     assert rows == [("1", True, None), ("1", True, None), ("2", False, "sem_dados_climaticos"), ("3", False, "municipio_nao_geocodificado")]
     assert tuple(P.coverage_summary(out).head()) == (4, 2, 2)
     assert tuple(P.coverage_summary(P.coverage(inputs.limit(0), catalog(spark), results)).head()) == (0, 0, 0)
+
+
+def test_overlapping_features_of_one_municipality(spark):
+    def box(a, b):
+        return [[a, a], [b, a], [b, b], [a, b]]
+
+    rings = [(1, f, 0, 0, box(*c)) for f, c in (("a", (0.0, 2.0)), ("b", (1.0, 3.0)))]
+    edges = spatial.ring_edges(spark.createDataFrame(rings, "municipio_id long, feature string, part int, ring int, coords array<array<double>>"))
+    points = spark.createDataFrame([(x, x) for x in (0.5, 1.5, 2.5, 3.5)], "lat double, lon double")
+    found = {r.lat: r.municipio_id for r in spatial.locate_points(points, edges).collect()}
+    assert found == {0.5: 1, 1.5: 1, 2.5: 1, 3.5: None}
+    assert spatial.representative_point(edges).count() == 1
+
+
+def test_lines_of_two_files_share_numbers(spark):
+    rows = [("Ana", "Lapa", "SP", 2), ("Bia", "Lapa", "SP", 2), ("Ana", "Lapa", "SP", 2), ("Ana", "Lapa", "SP", 5)]
+    batch = spark.createDataFrame(rows, "nome string, cidade string, uf string, numero_linha long")
+    none = spark.createDataFrame([], "nome string, cidade string, uf string")
+    out = U.label_lines(batch, none).collect()
+    assert sorted((r.nome, r.numero_linha, r.status) for r in out) == [
+        ("Ana", 2, "duplicado"), ("Ana", 2, "importado"), ("Ana", 5, "duplicado"), ("Bia", 2, "importado")
+    ]
+
+
+@pytest.mark.parametrize("cutoff", [90.0, 100.0])
+def test_names_of_any_length_and_the_highest_cutoff(spark, cutoff):
+    long = "ab cd " * 40 + "e"
+    known = spark.createDataFrame([(1, "SP", long), (2, "SP", "lapa"), (3, "SP", "lapas")], "id long, uf string, nome_normalizado string")
+    known = known.selectExpr("*", "nome_normalizado AS nome", "0D AS lat_centroide", "0D AS lon_centroide")
+    names = spark.createDataFrame([("SP", "lapa"), ("SP", long if cutoff == 100 else "lapaz")], "uf string, alvo string")
+    out = {(r.a, r.b) for r in G.fuzzy_pairs(names, known, cutoff).collect() if len(r.a) < 9}
+    assert ("lapa", "lapa") in out and (cutoff < 100 or out == {("lapa", "lapa")})

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from garoa import errors as E
-from garoa.operators import spatial
+from garoa.operators import rain, spatial
+from garoa.params import Page
 from garoa.sinks import tables as T
 from garoa.sources import grid as G
 from garoa.sources import places as L
@@ -100,6 +101,36 @@ def test_supplier_csv(spark, tmp_path, encoding):
     assert rows == [("Ana", "São Paulo", "SP", 2), ("Bia; Cia", "Lapa", "PR", 4)]
 
 
+def test_supplier_csv_counts_blank_records_and_quoted_line_ends(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text('nome,cidade,uf\nAna,Lapa,SP\n\n"Bia\nCia",Lapa,"P""R"\nDea,Lapa,RS\n')
+    rows = [tuple(r) for r in L.read_suppliers_csv(spark, str(path)).orderBy("numero_linha").collect()]
+    assert rows == [("Ana", "Lapa", "SP", 2), ("Bia\nCia", "Lapa", 'P"R', 4), ("Dea", "Lapa", "RS", 5)]
+    records = L.csv_records(spark.read.text(str(path)), block=2)
+    assert [r.numero_linha for r in records.orderBy("numero_linha").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_table_without_file_names_gets_its_units(spark):
+    rows = [("2001-01-01", 0.0, 0.0, 0.001)]
+    df = spark.createDataFrame(rows, "time string, lat double, lon double, pr double")
+    assert rain.to_mm_day_by_file(G.as_grid(df, "pr")).first()["valor"] == pytest.approx(86.4)
+
+
+def test_exports_of_any_size_unless_limited(spark, tmp_path):
+    n = 200_001
+    rows = spark.range(n).selectExpr(
+        "cast(id AS string) AS id", "'e' AS execucao_id", "id AS municipio_id", "'m' AS nome_municipio", "'SP' AS uf",
+        "2000 AS ano", "'rcp45' AS cenario", "1 AS frequencia_dias_secos_quentes", "0.5D AS intensidade_mm_dia",
+    )
+    T.export_results(rows, str(tmp_path / "all"))
+    assert spark.read.csv(str(tmp_path / "all"), header=True).count() == n
+    with pytest.raises(E.ExportLimitError):
+        T.export_results(rows, str(tmp_path / "some"), max_rows=n - 1)
+    assert Page(5000).limit == 5000
+    with pytest.raises(E.ValidationError):
+        Page(5000, most=1000)
+
+
 def test_supplier_csv_without_headers_is_empty(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text("nome,cidade\nAna,Lapa\n")
@@ -139,7 +170,7 @@ def test_geojson_polygons(spark, tmp_path):
     lines = tmp_path / "lines.geojson"
     lines.write_text("\n".join(json.dumps(f) for f in features))
     one, many = L.read_municipality_polygons(spark, str(whole)), L.read_municipality_polygons(spark, str(lines), False)
-    assert one.count() == 20 and one.exceptAll(many).isEmpty()
+    assert one.count() == 20 and one.drop("feature").exceptAll(many.drop("feature")).isEmpty()
     points = spark.createDataFrame([(-23.5, -46.6), (-22.0, -43.2), (-22.15, -43.2), (0.1, 0.1)], "lat double, lon double")
     found = {r["lat"]: r["municipio_id"] for r in spatial.locate_points(points, one).collect()}
     assert found == {-23.5: 3550308, -22.0: None, -22.15: 3304557, 0.1: 7}

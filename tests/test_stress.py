@@ -8,11 +8,12 @@ import pytest
 from grids import long_grid
 from pyspark.sql import functions as F
 
-from garoa.errors import NotFoundError
+from garoa.errors import GridReadError, NotFoundError
 from garoa.functions import numeric as N
 from garoa.operators import stress as S
 from garoa.params import StressParams
 from garoa.plans import stress_jobs
+from garoa.sources.grid import as_grid
 
 PR = [0.5, 0.2, 5.0, 0.0, 0.1, 2.0, 0.3, 0.0, 10.0, 0.4]
 TAS = [28.0, 32.0, 31.5, 25.0, 33.0, 29.0, 35.0, 27.0, 30.5, 24.0]
@@ -162,3 +163,28 @@ def test_numeric_helpers(spark):
     assert (row["a"], row["b"], row["c"], row["d"]) == (-180.0, -180.0, -0.5, 179.0)
     assert row["km"] == pytest.approx(358.4, abs=1.5)
     assert (row["t"], row["u"]) == ("2026-01-01 06:00:00", "2026-01-01 03:00:00")
+
+
+def grid_of(spark, stamps, variables=S.VARIABLES):
+    """A one-cell grid; ``stamps`` has the calendar parts of each day, by variable where they differ."""
+    rows = [(v, *p, 0.0, 35.0 if v == "tas" else 0.5) for v in variables for p in (stamps[v] if isinstance(stamps, dict) else stamps)]
+    df = spark.createDataFrame(rows, "variavel string, cal_year int, cal_month int, cal_day int, cal_hour int, lat double, valor double")
+    df = df.withColumns({"lon": F.col("lat"), "iy": F.lit(0), "ix": F.lit(0), "units": F.when(F.col("variavel") == "tas", "degC").otherwise("mm/day")})
+    grids = [as_grid(df, v, cenario=F.lit("rcp45")) for v in variables]
+    return grids[0].unionByName(grids[1]).unionByName(grids[2])
+
+
+def map_of(spark):
+    return spark.createDataFrame([(v, 0, 0, 7) for v in S.VARIABLES], "variavel string, iy int, ix int, municipio_id bigint")
+
+
+def test_days_that_do_not_exist_leave_no_row(spark):
+    grid = grid_of(spark, [(2001, 2, d, 0) for d in (28, 29, 30)])
+    rows = stress_jobs.water_stress_run(grid, map_of(spark), StressParams(), F.lit("e")).collect()
+    assert [(r.id, r.ano, r.frequencia_dias_secos_quentes) for r in rows] == [("e_7_2001", 2001, 1)]
+
+
+def test_the_hour_is_kept_and_no_common_time_is_an_error(spark):
+    stamps = {v: [(2001, 1, 1, 12 if v == "evspsbl" else 0)] for v in S.VARIABLES}
+    with pytest.raises(GridReadError, match="no time step"):
+        stress_jobs.water_stress_run(grid_of(spark, stamps), map_of(spark), StressParams(), F.lit("e"))
