@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E = 64
+#: Parts into which the bucket that holds a rank is cut before anything is sorted.
+SHARES = 4096
 _OFFSET = 48_000
 
 
@@ -29,12 +31,19 @@ def _same(names: list[str]) -> Column:
     return same
 
 
+def _share(v: Column, low: Column, high: Column) -> Column:
+    """Which of ``SHARES`` equal parts of ``[low, high]`` a value lies in; never falls as values rise."""
+    part = (v.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double"))
+    return F.when(high > low, F.floor(F.nanvl(part, F.lit(1.0)) * SHARES)).otherwise(F.lit(0).cast("bigint"))
+
+
 def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> DataFrame:
     """Linear-interpolated percentile per group: ``*dims, valor, n_amostras``.
 
     A group is never gathered: equal values are counted before the shuffle, the
     counts are summed per value bucket, the running total of the (few) buckets
-    names the one or two that hold the wanted ranks, and only those are sorted.
+    names the one or two that hold the wanted ranks; those are cut again into equal
+    parts, and only parts that hold a rank are sorted.
     NULL is a group of its own; a group without values has NULL and 0.
     """
     keys = [F.col(d) for d in dims]
@@ -43,7 +52,7 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("b", F.when(F.col("v").isNotNull(), _ordered_bucket(F.col("v"))))
     )
-    buckets = counts.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
+    buckets = counts.groupBy(*keys, "b").agg(F.sum("c").alias("bc"), F.min("v").alias("v0"), F.max("v").alias("v1"))
     held = F.when(F.col("b").isNotNull(), F.col("bc")).otherwise(F.lit(0))
     totals = buckets.groupBy(*keys).agg(
         F.sum("bc").alias("_rows"), F.sum(held).alias("n_amostras")
@@ -58,11 +67,15 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
         *keys,
         "b",
         "bc",
+        "v0",
+        "v1",
         F.sum("bc").over(running).alias("cum"),
         (F.lit(q) * (F.sum(held).over(whole) - 1)).alias("rank"),
     ).select(
         *keys,
         "b",
+        "v0",
+        "v1",
         (F.col("cum") - F.col("bc")).alias("before"),
         "cum",
         "rank",
@@ -71,12 +84,25 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
     )
     wanted = placed.filter((F.col("before") <= F.col("hi")) & (F.col("cum") > F.col("lo")))
     inside = counts.join(_renamed(wanted, [*dims, "b"]), _same([*dims, "b"])).select(
-        *keys, "b", "v", "c", "before", "lo", "hi", "rank"
+        *keys, "b", _share(F.col("v"), F.col("v0"), F.col("v1")).alias("s"), "v", "c", "before", "lo", "hi", "rank"
+    )
+    # The wanted bucket is cut again, into equal shares of its values, and only
+    # the shares that hold a rank are sorted.
+    carried = [F.max(c).alias(c) for c in ("before", "lo", "hi", "rank")]
+    shares = inside.groupBy(*keys, "b", "s").agg(F.sum("c").alias("sc"), *carried)
+    past = Window.partitionBy(*dims, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("before") + F.coalesce(F.sum("sc").over(past), F.lit(0))
+    chosen = shares.withColumn("before", offset).filter(
+        (F.col("before") <= F.col("hi")) & (F.col("before") + F.col("sc") > F.col("lo"))
+    ).select(*keys, "b", "s", "before", "lo", "hi", "rank")
+    parts = [*dims, "b", "s"]
+    held_in = inside.select(*keys, "b", "s", "v", "c").join(_renamed(chosen, parts), _same(parts)).select(
+        *keys, "b", "s", "v", "c", "before", "lo", "hi", "rank"
     )
-    within = Window.partitionBy(*dims, "b").orderBy("v").rowsBetween(
+    within = Window.partitionBy(*parts).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranged = inside.withColumn("last", F.col("before") + F.sum("c").over(within) - 1).withColumn(
+    ranged = held_in.withColumn("last", F.col("before") + F.sum("c").over(within) - 1).withColumn(
         "first", F.col("last") - F.col("c") + 1
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +67,9 @@ def test_argument_rules():
     for bad in (dict(ano=2030, ano_min=2029), dict(ano_min=3, ano_max=2), dict(raio_km=5.0), dict(raio_km=0.0, centro_lat=1.0, centro_lon=1.0)):
         with pytest.raises(ValidationError):
             ResultFilter(**bad)
-    for limit, offset in ((0, 0), (1001, 0), (5, -1)):
+    for limit, offset, most in ((0, 0, None), (1001, 0, 1000), (5, -1, None)):
         with pytest.raises(ValidationError):
-            Page(limit, offset)
+            Page(limit, offset, most)
     for bad in (lambda: Aggregation("soma"), lambda: Aggregation("media", ("uf",)), lambda: BBox(2, 1, 0, 0), lambda: StressFilter(ano=1, ano_max=2)):
         with pytest.raises(ValidationError):
             bad()
@@ -151,3 +152,12 @@ def test_export_orders_and_keeps_nulls(spark, dim, tmp_path):
     assert text[0] == "id,execucao_id,municipio_id,nome_municipio,uf,ano,cenario,frequencia_dias_secos_quentes,intensidade_mm_dia"
     assert [t for t in text if not t.startswith("id,")] == ["i1,e,1,x,SP,2030,rcp45,2,0.0", "i2,e,9,,,2031,rcp45,3,1.5"]
     assert R.yearly_mean_frequency(stress.withColumn("ano", F.lit(2030))).head()["frequencia_media"] == 2.5
+
+
+def test_percentile_of_values_in_one_narrow_bucket(spark):
+    rows = spark.range(200_000).selectExpr("id % 2 AS k", "1.0D + id * 1e-8D AS v")
+    rows = rows.unionByName(spark.createDataFrame([(0, float("inf")), (1, None)], "k long, v double"))
+    out = {r.k: (r.valor, r.n_amostras) for r in group_percentile(rows, "v", ["k"], 0.5).collect()}
+    even = np.append(1.0 + np.arange(0, 200_000, 2) * 1e-8, np.inf)
+    odd = 1.0 + np.arange(1, 200_000, 2) * 1e-8
+    assert out == {0: (np.quantile(even, 0.5), 100_001), 1: (pytest.approx(np.quantile(odd, 0.5), abs=1e-12), 100_000)}
