@@ -99,6 +99,52 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+_CONTROL = r"[\[<](/?INST\]|/?ROLE\]|TEXT\]|/?s>)"
+#: A text that holds a control string grows by one character for each; the given ones hold none.
+ORACLES["op1_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(n)),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+    CAST(sum(length(text) + len(regexp_extract_all(text, '{_CONTROL}'))
+      + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM d
+"""
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+ORACLES["op4_near_duplicates"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS v
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(v[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, v, unnest(range(1, greatest(len(v) - 3, 2))) AS i FROM w WHERE len(v) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 75 * (a.n + b.n - s.n)),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, y FROM reach JOIN links ON r = x),
+parts AS (SELECT id, min(r) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d JOIN parts ON id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""
+
+ORACLES["op8_repeated_passages"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS v FROM documents),
+win AS (SELECT doc_id, i, array_to_string(v[i:i + 19], ' ') AS k FROM (SELECT doc_id, v, unnest(range(1, len(v) - 18)) AS i FROM w WHERE len(v) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, range(20) r(j)),
+each AS (SELECT doc_id, unnest(v) AS word, unnest(range(1, len(v) + 1)) AS p FROM w),
+kept AS (
+  SELECT e.doc_id, count(g.p) AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL), '') AS text
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY 1)
+SELECT w.doc_id, len(v) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES |= {
     f.__name__: f
     for f in (
