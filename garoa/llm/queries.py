@@ -91,7 +91,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,30 @@ SELECT w.doc_id, len(v) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+#: All windows of every document and item with a shingle in common; items here have five words or more.
+ORACLES["op9_leaks"] = f"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS v
+  FROM texts),
+g AS (
+  SELECT kind, id, p, array_to_string(v[p + 1:p + 5], ' ') AS s, len(v) - 4 AS n
+  FROM (SELECT kind, id, v, unnest(range(0, len(v) - 4)) AS p FROM w WHERE len(v) >= 5)),
+d AS (SELECT id AS doc_id, p, s, n FROM g WHERE kind = 'd'),
+b AS (SELECT id AS item_id, s, any_value(n) AS m, count(*) AS c FROM g WHERE kind = 'b' GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT doc_id, item_id, n, m FROM d JOIN b USING (s)),
+starts AS (SELECT doc_id, item_id, m, least(n, m) AS size, unnest(range(0, greatest(n - m, 0) + 1)) AS p0 FROM pairs),
+counted AS (
+  SELECT doc_id, item_id, m, size, p0, s, count(*) AS k FROM starts JOIN d USING (doc_id)
+  WHERE p BETWEEN p0 AND p0 + size - 1 GROUP BY ALL),
+shared AS (
+  SELECT doc_id, item_id, m, size, p0, sum(least(k, c)) AS hit FROM counted JOIN b USING (item_id, m, s) GROUP BY ALL),
+scored AS (SELECT *, CAST(hit AS DOUBLE) / CAST(m + size - hit AS DOUBLE) AS likeness FROM shared)
+SELECT doc_id, item_id, p0 AS start_word, size + 4 AS n_words, likeness FROM scored WHERE likeness >= 0.75
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY likeness DESC, p0) = 1
+"""
+
 QUERIES |= {
     f.__name__: f
     for f in (
