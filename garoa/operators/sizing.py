@@ -11,12 +11,22 @@ BROADCAST_BYTES = 128 << 20
 _VALUE_BYTES = 16
 
 
+_KEPT: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Keep a reduced table that a plan reads more than once.
+    """Keep a reduced table that a plan reads more than once, until ``release``.
 
     Blocks lost with an executor are recomputed from lineage.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Free what was kept, once the results that need it are written; later uses compute it again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -42,5 +52,5 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     most = most if max_rows is None else min(most, max_rows)
     wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind == "string" or "<" in kind]
     text = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
-    rows, size = kept.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    [(rows, size)] = kept.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).head(1)
     return F.broadcast(kept) if rows <= most and size <= BROADCAST_BYTES else kept

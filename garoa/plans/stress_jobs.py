@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from garoa.errors import GridReadError
 from garoa.functions import text as X
 from garoa.operators import stress
-from garoa.operators.sizing import broadcast_if_small, keep
+from garoa.operators.sizing import broadcast_if_small, keep, release
 from garoa.params import StressParams
 from garoa.schemas import WATER_STRESS
 from garoa.sinks import tables
@@ -119,6 +119,7 @@ def water_stress_from_folders(
             tables.replace_run(water_stress_run(grid, cell_map, params, F.lit(run_id), on), path, run_id)
         except GridReadError as error:
             reason = str(error)
+        release()
         states.append((cenario, run_id, reason is None, reason))
     done = spark.createDataFrame(states, "cenario string, execucao_id string, ok boolean, motivo string")
     return done, stress.divergence_report(cell_map)

@@ -108,8 +108,8 @@ def read_suppliers_csv(
     """
     raw = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
     records = csv_records(raw)
-    head = records.filter(F.col("numero_linha") == 1).head()
-    names = next(csv.reader([head.record], delimiter=sep), []) if head else []
+    head = records.filter(F.col("numero_linha") == 1).head(1)
+    names = next(csv.reader([head[0].record], delimiter=sep), []) if head else []
     fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     if not names:
         return spark.createDataFrame([], SUPPLIER_LINES)
