@@ -70,24 +70,24 @@ _SPACE = re.compile(r"\s+")
 class Element:
     """An open or closed element: its tag, parent, path, and what it is named."""
 
-    __slots__ = ("tag", "parent", "path", "side", "landmark", "holds_landmark", "depth")
+    __slots__ = ("tag", "parent", "path", "side", "top", "landmark", "holds", "depth")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.side = tag in SIDE_TAGS or tag in RAW
-        self.landmark, self.holds_landmark = tag in ("article", "main"), False
+        self.landmark, self.holds, self.top = tag in ("article", "main"), 0, False
         label = tag
         if attributes.strip():
             label += self._read(attributes)
         if tag == "header" and not self.inside("article", "main"):
-            self.side = True
+            self.top = True
         self.path = f"{parent.path}/{label}" if parent else label
-        if self.landmark or tag == "h1":
-            up = parent
-            while up and not up.holds_landmark:
-                up.holds_landmark = True
-                up = up.parent
+        holds = 2 if self.landmark else int(tag == "h1")
+        up = parent
+        while up and up.holds < holds:
+            up.holds = holds
+            up = up.parent
 
     def _read(self, attributes: str) -> str:
         found = {}
@@ -99,7 +99,7 @@ class Element:
         self.landmark |= role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
         if self.tag not in ("html", "body", "main", "article"):
             self.side |= bool(words & SIDE_NAMES) or role in SIDE_ROLES
-            self.side |= bool(words & HEADER_NAMES) and not self.inside("article", "main")
+            self.top |= bool(words & HEADER_NAMES) and not self.inside("article", "main")
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         self.side |= hidden or "display:none" in found.get("style", "").replace(" ", "").lower()
         return "." + ".".join(sorted(words)) if words else ""
@@ -113,10 +113,14 @@ class Element:
         return False
 
     def aside(self, below: Element | None = None) -> bool:
-        """Whether it lies in a side part, under ``below`` if given; parts that hold the article are none."""
+        """Whether it lies in a side part, under ``below`` if given.
+
+        A part that is one by its name alone is none if it holds the article or
+        its title; a page header is none only if it holds the article.
+        """
         at = self
         while at and at is not below:
-            if at.side and not (at.holds_landmark and at.tag not in RAW and at.tag not in SIDE_TAGS):
+            if at.top and at.holds < 2 or at.side and not (at.holds and at.tag not in RAW and at.tag not in SIDE_TAGS):
                 return True
             at = at.parent
         return False

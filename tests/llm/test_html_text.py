@@ -22,6 +22,7 @@ PAGES = {
     "inner": f"<article>{STORY}<section class='comments'><p>{LONG}</p></section><form><p>{LONG}</p></form></article><article><p>More, soon.</p></article>",
     "roles": f"<div role=navigation>{MENU}</div><div role=main>{STORY}</div><div hidden>{LONG}</div><div style='display: none'>{LONG}</div>",
     "upper": f"<BODY><NAV>{MENU}</NAV><ARTICLE>{STORY}</ARTICLE></BODY>",
+    "titled": f"<header><h1>The site</h1>{MENU}</header>{STORY}<footer>{LONG}</footer>",
     "open": f"<nav>{MENU}</nav><article><h1>A title<p>{ONE}<p>Short.<ul><li>one item<li>two</ul><p>{TWO}",
 }
 
