@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from garoa.errors import GridReadError
 from garoa.functions import text as X
 from garoa.operators import stress
-from garoa.operators.sizing import broadcast_if_small, keep, release
+from garoa.operators.sizing import release
 from garoa.params import StressParams
 from garoa.schemas import WATER_STRESS
 from garoa.sinks import tables
@@ -86,14 +86,11 @@ def water_stress_batch(
     params: StressParams,
     on: tuple[str, ...] = ("variavel", "iy", "ix"),
 ) -> tuple[DataFrame, DataFrame]:
-    """All scenarios of ``grid`` in one plan: (results, one check row per scenario).
-
-    Rows of scenarios that fail their checks go before anything is shuffled.
-    """
-    checks = keep(scenario_checks(grid))
-    good = broadcast_if_small(checks.filter("ok").select("cenario"))
-    usable = grid.join(good, "cenario", "left_semi")
-    return stress.water_stress(water_stress_days(usable, cell_map, on), params), checks
+    """All scenarios of ``grid`` in one plan: (results, one check row per scenario)."""
+    checks = scenario_checks(grid)
+    good = checks.filter("ok").select("cenario")
+    days = water_stress_days(grid, cell_map, on).join(good, "cenario", "left_semi")
+    return stress.water_stress(days, params), checks
 
 
 def water_stress_from_folders(
