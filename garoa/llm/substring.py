@@ -6,7 +6,9 @@ of one anchor at one place form a segment; segments of an anchor meet in one sha
 oldest of equal segments stands for all, the others are repeats. Where an anchor
 has several different segments, they are indexed: a compressed FM-index per shard,
 in which backward search finds the stretches of each segment that an older place
-repeats, and reports those of a window or more.
+repeats, and reports those of a window or more. An anchor of too many different
+segments for one index is taken apart into single windows, which are aggregated
+by their hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from garoa.llm.arrow_words import mix, powers, split_words, word_hashes
 from garoa.llm.fm_index import FMIndex
@@ -27,7 +28,7 @@ WINDOW = 20
 GRAM = 4
 GRAMS = WINDOW - GRAM + 1
 SEGMENT = 2 * WINDOW - GRAM
-#: Segments of one anchor above which they are split by a second anchor before indexing.
+#: Different segments of one anchor above which they are taken apart into windows, not indexed.
 CROWD = 10_000
 #: Words after which a shard begins another index, at the next anchor.
 INDEX_WORDS = 400_000
@@ -110,33 +111,36 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the segments to be indexed; crowded anchors are split by a second one."""
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many segments of a batch have each anchor."""
     for batch in by_bytes(batches):
         words = split_words(*offsets_of(batch.column("text")))
+        anchor, n = np.unique(_segments(word_hashes(words), words.first, 0)[3], return_counts=True)
+        yield arrow_batch({"anchor": anchor.view(np.int64), "n": n.astype(np.int64)})
+
+
+def _wanted(batch: pa.RecordBatch) -> tuple:
+    """Words of a batch, and row, first word, windows and anchor of its wanted ``segments``."""
+    words = split_words(*offsets_of(batch.column("text")))
+    wanted = batch.column("segments")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(wanted.offsets)))
+    part = wanted.flatten()
+    start, windows, anchor = (part.field(c).to_numpy().astype(np.int64) for c in ("start", "windows", "anchor"))
+    inside = start + windows + WINDOW - 1 <= words.per_row[row]
+    return words, row[inside], start[inside], windows[inside], anchor[inside]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the segments to be indexed."""
+    for batch in by_bytes(batches):
+        words, row, start, windows, anchor = _wanted(batch)
         hashes = word_hashes(words)
-        wanted = batch.column("segments")
-        n = np.diff(np.asarray(wanted.offsets))
-        row = np.repeat(np.arange(batch.num_rows), n)
-        part = wanted.flatten()
-        start, windows = (part.field(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
-        anchor = part.field("anchor").to_numpy().view(np.uint64)
-        crowded = part.field("crowded").to_numpy(zero_copy_only=False)
-        inside = start + windows + WINDOW - 1 <= words.per_row[row]
-        row, start, windows, anchor, crowded = (x[inside] for x in (row, start, windows, anchor, crowded))
-        if crowded.any():
-            second, _ = _anchors(hashes, 1)
-            split = [_again(second, words.first[r], s, w, a) if c else [(s, w, a)] for r, s, w, a, c in zip(row, start, windows, anchor, crowded, strict=True)]
-            row = np.repeat(row, [len(x) for x in split])
-            flat = [y for x in split for y in x]
-            start, windows = (np.array([y[i] for y in flat], np.int64) for i in (0, 1))
-            anchor = np.array([y[2] for y in flat], np.uint64)
         size = windows + WINDOW - 1
         offsets = np.append(0, np.cumsum(size)).astype(np.int32)
         take = np.repeat(words.first[row] + start - offsets[:-1], size) + np.arange(offsets[-1])
         yield arrow_batch(
             {
-                "anchor": anchor.view(np.int64),
+                "anchor": anchor,
                 "doc_id": batch.column("doc_id").to_numpy()[row].astype(np.int64),
                 "start": start.astype(np.int32),
                 "words": pa.ListArray.from_arrays(offsets, hashes[take].view(np.int64)),
@@ -144,12 +148,30 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _again(second: np.ndarray, base: int, start: int, windows: int, anchor: int) -> list[tuple[int, int, int]]:
-    """Parts of a segment by its windows' second anchor."""
-    own = second[base + start : base + start + windows]
-    cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), windows)
-    named = mix(own[cut[:-1]] ^ np.uint64(anchor))
-    return [(start + int(a), int(b - a), int(k)) for a, b, k in zip(cut[:-1], cut[1:], named, strict=True)]
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes and the place of each window of the segments of crowded anchors."""
+    for batch in by_bytes(batches):
+        words, row, start, windows, _ = _wanted(batch)
+        hashes = word_hashes(words)
+        n = len(hashes) - WINDOW + 1
+        codes = []
+        for salt in (1, 2):
+            own = mix(hashes + np.uint64(salt))
+            code = np.zeros(max(n, 0), np.uint64)
+            for j, scale in enumerate(powers(_BASE, WINDOW) if n > 0 else ()):
+                code += own[j : j + n] * scale
+            codes.append(mix(code).view(np.int64))
+        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        own_row, place = np.repeat(row, windows), np.repeat(start, windows) + step
+        at = words.first[own_row] + place
+        yield arrow_batch(
+            {
+                "code": codes[0][at],
+                "check": codes[1][at],
+                "doc_id": batch.column("doc_id").to_numpy()[own_row].astype(np.int64),
+                "start": place.astype(np.int32),
+            }
+        )
 
 
 def _search(rows: pa.Table) -> pa.RecordBatch:
@@ -201,27 +223,43 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("doc_id is not null")
+    plain = texts.select("doc_id", "text")
     kind = "anchor long, segment long, doc_id long, start int, windows int, known boolean"
-    rows = texts.select("doc_id", "text").mapInArrow(_segment_rows, kind)
-    one = Window.partitionBy("anchor")
-    ranked = rows.select(
-        "*",
-        F.rank().over(Window.partitionBy("anchor", "segment").orderBy("doc_id", "start")).alias("nth"),
-        F.min("segment").over(one).alias("least"),
-        F.max("segment").over(one).alias("most"),
-        F.count("*").over(one).alias("crowd"),
-    )
-    repeat = F.col("known") | (F.col("nth") > 1)
-    found = ranked.where(repeat | (F.col("least") < F.col("most"))).select(
-        "anchor", "doc_id", "start", "windows", repeat.alias("repeat"), (F.col("crowd") > CROWD).alias("crowded")
-    )
-    found = checkpointed(found)
-    whole = found.where("repeat").select("doc_id", F.col("start").alias("low"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("high"))
-    open_ = found.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "crowded")).alias("segments"))
-    pieces = texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id")
+    counts = plain.mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    met = plain.mapInArrow(_segment_rows, kind).join(counts.hint("merge"), "anchor", "left")
+    met = checkpointed(met.where("known or n is not null").drop("n"))
+    oldest = met.where("not known").groupBy("anchor", "segment")
+    oldest = checkpointed(oldest.agg(F.min(F.struct("doc_id", "start")).alias("oldest"), F.first("windows").alias("windows")))
+    repeat = F.col("known") | (F.struct("doc_id", "start") != F.col("oldest"))
+    whole = met.join(oldest.select("anchor", "segment", "oldest").hint("merge"), ["anchor", "segment"], "left").where(repeat)
+    whole = whole.select("doc_id", F.col("start").alias("low"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("high"))
+    crowds = oldest.groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    several = oldest.join(crowds.hint("merge"), "anchor").select("oldest.*", "windows", "anchor", "crowd")
+
+    def with_texts(segments: DataFrame) -> DataFrame:
+        listed = segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("segments"))
+        return plain.join(listed.hint("merge"), "doc_id")
+
+    pieces = with_texts(several.where(F.col("crowd") <= CROWD))
     pieces = pieces.mapInArrow(_pieces, "anchor long, doc_id long, start int, words array<long>")
     shards = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return whole.union(shards.mapInArrow(_shard, "doc_id long, low int, high int")), texts
+    found = whole.union(shards.mapInArrow(_shard, "doc_id long, low int, high int"))
+    if not crowds.where(F.col("crowd") > CROWD).isEmpty():
+        found = found.union(_crowded_repeats(with_texts(several.where(F.col("crowd") > CROWD))))
+    return found, texts
+
+
+def _crowded_repeats(segments: DataFrame) -> DataFrame:
+    """Windows of crowded anchors that are not the oldest of their equals, one by one.
+
+    They are aggregated before they move, so neither an anchor nor a window is
+    gathered in one task.
+    """
+    windows = checkpointed(segments.mapInArrow(_single_windows, "code long, check long, doc_id long, start int"))
+    oldest = windows.groupBy("code", "check").agg(F.min(F.struct("doc_id", "start")).alias("oldest"), F.count("*").alias("n"))
+    met = windows.join(oldest.where("n > 1").drop("n").hint("merge"), ["code", "check"])
+    late = met.where(F.struct("doc_id", "start") != F.col("oldest"))
+    return late.select("doc_id", F.col("start").alias("low"), (F.col("start") + WINDOW).alias("high"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], carry: Sequence[str]) -> Iterator[pa.RecordBatch]:

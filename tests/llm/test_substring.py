@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
+from pathlib import Path
 
 import numpy as np
 from llm.helpers import docs, odd_texts, prose
@@ -85,3 +87,24 @@ def test_backward_search_and_ranks():
     own = [s for s in range(297) if s // 30 == (s + 3) // 30]
     expected = {s for s in own if any(tuple(text[s : s + 4]) == tuple(text[r : r + 4]) for r in own if r < s)}
     assert found == expected
+
+
+def test_a_crowded_anchor_is_never_indexed_whole(spark, monkeypatch, tmp_path):
+    """Each text has its own words before a shared passage: as many different segments of an anchor as texts."""
+    passage, folder, shard = prose(77, 30), str(tmp_path), substring._shard
+    rows = [(d, " ".join(prose(20_000 + d, 25) + passage)) for d in range(90)]
+    rows += [(500 + d, t) for d, t in shared_rows(10)]
+
+    def counted(batches):
+        held = list(batches)
+        anchors = np.concatenate([b.column("anchor").to_numpy() for b in held] or [np.zeros(0, np.int64)])
+        most = int(np.unique(anchors, return_counts=True)[1].max(initial=0))
+        Path(folder, f"{uuid.uuid4().hex}-{most}").touch()
+        yield from shard(iter(held))
+
+    monkeypatch.setattr(substring, "CROWD", 20)
+    monkeypatch.setattr(substring, "_shard", counted)
+    assert answers(docs(spark, rows)) == brute(rows)
+    sizes = [int(p.name.split("-")[1]) for p in tmp_path.iterdir()]
+    assert sizes
+    assert max(sizes) <= 20
