@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garoa.llm.arrow_words import distinct_by_row, mix, sequence_hash, shingles, split_words, word_hashes
+from garoa.llm.arrow_words import distinct_by_row, mix, shingles, split_words, word_hashes
 from garoa.llm.components import components
 from garoa.llm.shared import arrow_batch, by_bytes, checkpointed, offsets_of
 
@@ -52,6 +52,15 @@ def _minwise(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _set_hash(values: np.ndarray, rows: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """A hash of each row's set of shingles, whatever their order."""
+    out = np.zeros(n, np.uint64)
+    if len(values):
+        begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        out[rows[begins]] = np.add.reduceat(mix(values ^ mix(np.full(1, salt, np.uint64))), begins)
+    return mix(out)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches):
         words = split_words(*offsets_of(batch.column("text")), lower=True)
@@ -63,15 +72,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": np.bincount(rows, minlength=batch.num_rows),
-                "high": sequence_hash(hashes, words.first, 1).view(np.int64),
-                "low": sequence_hash(hashes, words.first, 2).view(np.int64),
+                "high": _set_hash(values, rows, batch.num_rows, 1).view(np.int64),
+                "low": _set_hash(values, rows, batch.num_rows, 2).view(np.int64),
                 "tokens": lists,
             }
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: set size, two hashes of the word sequence, and minwise tokens."""
+    """Per row: set size, two hashes of the set, and minwise tokens."""
     return docs.select("doc_id", "text").mapInArrow(
         _sketch, "doc_id long, n_shingles long, high long, low long, tokens array<int>"
     )
@@ -124,9 +133,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
 def likely_links(sketched: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect all documents the trees find likely alike.
 
-    ``sketched(id, n, tokens)`` has a row per distinct word sequence. Nodes of
-    the same members count once. Small nodes are compared exhaustively, large
-    ones branch on; those still large at the last level connect all members, to
+    ``sketched(id, n, tokens)`` has a row per distinct set. Small nodes of the
+    same members count once and are compared exhaustively. Large ones branch on,
+    each by its own path, also if others have the same members; those still large at the last level connect all members, to
     be told apart on full sets. Members of a node are counted, never gathered,
     unless it is small.
     """
@@ -134,7 +143,8 @@ def likely_links(sketched: DataFrame) -> DataFrame:
     small = []
     for level in range(1, DEPTH + 1):
         same = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("pivot"), F.max("id").alias("top")]
-        sizes = nodes.groupBy("node").agg(*same).where("m > 1").groupBy("m", "mark", "pivot", "top").agg(F.min("node").alias("node"))
+        own = F.when(F.col("m") > SMALL_NODE, F.col("node")).alias("own")
+        sizes = nodes.groupBy("node").agg(*same).where("m > 1").groupBy("m", "mark", "pivot", "top", own).agg(F.min("node").alias("node"))
         shared = checkpointed(nodes.select("node", "id").join(sizes.select("node", "m", "pivot").hint("merge"), "node"))
         small.append(shared.where(F.col("m") <= SMALL_NODE).select("node", "id"))
         large = shared.where(F.col("m") > SMALL_NODE)
@@ -266,8 +276,8 @@ def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Equal word
-    sequences are one class from the start, so copies cost one narrow row each.
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Equal sets
+    are one class from the start, so copies cost one narrow row each.
     A null or wordless text has an empty set and is linked with nothing. Rows of
     one ``doc_id`` count as one document, linked by any of its texts. A row
     without ``doc_id`` is linked with nothing: null component, kept. Other

@@ -90,3 +90,26 @@ def test_components_of_a_chain_a_hub_and_loops(spark):
     edges = spark.createDataFrame(chain + hub + [(7, 7), (None, 3), (9, 8), (8, 9)], "a long, b long")
     out = {r.id: r.component for r in components(edges).collect()}
     assert out == {i: 40 for i in range(40, 81)} | {i: 100 for i in range(100, 150)} | {7: 7, 8: 8, 9: 8}
+
+
+def test_texts_of_equal_sets_are_one_class(spark):
+    """A line repeated 2, 3, ... times: over 100 sequences of one set, and neighbours a little above likeness 0.75."""
+    line = prose(31, 20)
+    rows = [(k, " ".join(line * (k + 2))) for k in range(150)]
+    rows += [(1000 + x, " ".join(line * 2 + prose(600 + x, 6))) for x in range(4)]
+    out = near_dedup.sketches(docs(spark, rows)).where("doc_id < 1000")
+    assert out.select("high", "low").distinct().count() == 1
+    assert answers(docs(spark, rows)) == brute(rows)
+
+
+def test_large_nodes_of_the_same_members_branch_apart(spark, monkeypatch):
+    """Families of 9 equal sketches and one that shares three quarters of their tokens."""
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 8)
+    draw, rows = random.Random(8), []
+    for f in range(200):
+        tokens = [draw.randrange(1 << 30) for _ in range(near_dedup.TOKENS)]
+        near = [t if draw.random() < 0.75 else draw.randrange(1 << 30) for t in tokens]
+        rows += [(10 * f + i, 100, tokens) for i in range(9)] + [(10 * f + 9, 100, near)]
+    sketched = spark.createDataFrame(rows, "id long, n long, tokens array<int>")
+    found = {r.id: r.component for r in components(near_dedup.likely_links(sketched)).collect()}
+    assert [f for f in range(200) if found.get(10 * f + 9) != 10 * f] == []
