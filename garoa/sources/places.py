@@ -74,31 +74,70 @@ def supplier_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def csv_records(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+def _csv_patterns(sep: str) -> tuple[str, str, str, str]:
+    """Body of a quoted field, what may follow its closing quote, a closed field, and one that may stay open.
+
+    As ``csv.reader`` reads: a quote opens a field at its start only; elsewhere in
+    an unquoted field, or after a closing quote, it is a plain character. Nothing
+    backtracks.
+    """
+    cut = "\\x{%x}" % ord(sep)
+    body = r'[^"]*+(?:""[^"]*+)*+'
+    tail = rf'(?:[^"{cut}][^{cut}]*+)?+'
+    return body, tail, rf'(?:"{body}"{tail}|{tail})', rf'(?:"{body}(?:"{tail})?+|{tail})'
+
+
+def csv_records(lines: DataFrame, block: int = 1 << 16, sep: str = ",") -> DataFrame:
     """``numero_linha, record`` of the physical lines ``value`` of a CSV file, in order.
 
-    A record ends at a line end outside quotes; every record counts, blank ones
-    too. Quotes and records are summed inside blocks of lines, then over blocks.
+    A record ends at a line end outside a quoted field; every record counts, blank
+    ones too. A line is a function of whether a quoted field is open before it: it
+    keeps or turns that, or settles it. Turns are summed, and the last settled
+    state and the records found, inside blocks of lines, then over blocks.
     """
     numbered = number_lines(lines, "_n", 0).withColumn("_block", F.floor(F.col("_n") / block))
 
-    def before(df: DataFrame, amount: Column, name: str) -> DataFrame:
+    def before(df: DataFrame, amount: Column, name: str, of=F.sum) -> DataFrame:
         inside = Window.partitionBy("_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
         over = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = df.groupBy("_block").agg(F.sum(amount).alias("_sum"))
-        offset = sums.select("_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))
-        own = F.coalesce(F.sum(amount).over(inside), F.lit(0))
-        return df.withColumn(name, own).join(offset, "_block").withColumn(name, F.col(name) + F.col("_off")).drop("_off")
-
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    opened = before(numbered.withColumn("_q", quotes), F.col("_q"), "_quotes")
-    starts = (F.col("_quotes") % 2 == 0).cast("bigint")
-    counted = before(opened.withColumn("_start", starts), F.col("_start"), "_before")
+        sums = df.groupBy("_block").agg(of(amount).alias("_sum"))
+        offset = sums.select("_block", F.coalesce(of("_sum").over(over), F.lit(0)).alias("_off"))
+        own = F.coalesce(of(amount).over(inside), F.lit(0))
+        both = F.col(name) + F.col("_off") if of is F.sum else F.greatest(name, "_off")
+        return df.withColumn(name, own).join(offset, "_block").withColumn(name, both).drop("_off")
+
+    body, tail, field, _ = _csv_patterns(sep)
+    cut = "\\x{%x}" % ord(sep)
+    last = rf'(?:{field}{cut})*+"{body}\z'
+    closed, opened = F.col("value").rlike(rf"\A{last}"), F.col("value").rlike(rf'\A{body}(?:\z|"{tail}{cut}{last})')
+    ends = numbered.withColumn("_from_closed", closed).withColumn("_from_open", opened)
+    turned = before(ends.withColumn("_t", (F.col("_from_closed") & ~F.col("_from_open")).cast("bigint")), F.col("_t"), "_turns")
+    # A settled state is kept next to its line, without the turns before it.
+    settled = F.when(
+        F.col("_from_closed") == F.col("_from_open"),
+        2 * F.col("_n") + (F.col("_from_closed").cast("bigint") + F.col("_turns")) % 2,
+    )
+    known = before(turned.withColumn("_s", settled), F.col("_s"), "_settled", F.max)
+    starts = ((F.col("_settled") + F.col("_turns")) % 2 == 0).cast("bigint")
+    counted = before(known.withColumn("_start", starts), F.col("_start"), "_before")
     record = (F.col("_before") + F.col("_start")).alias("numero_linha")
     parts = counted.groupBy(record).agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_lines"))
     return parts.select("numero_linha", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"))
 
 
+def csv_cells(record: Column, sep: str) -> Column:
+    """Fields of a record as ``csv.reader`` reads them."""
+    body, tail, _, field = _csv_patterns(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(rf"\G\x{{{ord(sep):x}}}({field})"), F.lit(1))
+
+    def plain(cell: Column) -> Column:
+        inner = F.regexp_extract(cell, rf'\A"({body})', 1)
+        rest = F.regexp_extract(cell, rf'\A"{body}"({tail})\z', 1)
+        return F.when(cell.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(cell)
+
+    return F.transform(raw, plain)
+
+
 def read_suppliers_csv(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8"
 ) -> DataFrame:
@@ -107,17 +146,14 @@ def read_suppliers_csv(
     Records are numbered from the header's 1, blank ones included.
     """
     raw = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-    records = csv_records(raw)
+    records = csv_records(raw, sep=sep)
     head = records.filter(F.col("numero_linha") == 1).head(1)
     names = next(csv.reader([head[0].record], delimiter=sep), []) if head else []
-    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     if not names:
         return spark.createDataFrame([], SUPPLIER_LINES)
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    parsed = F.from_csv("record", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
-    rows = records.filter("numero_linha > 1").select("numero_linha", parsed.alias("r"))
+    rows = records.filter("numero_linha > 1").select("numero_linha", csv_cells(F.col("record"), sep).alias("r"))
     unique = [n if n not in names[:i] else f"{n}#{i}" for i, n in enumerate(names)]
-    return supplier_lines(rows.select("numero_linha", *[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(unique)]))
+    return supplier_lines(rows.select("numero_linha", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(unique)]))
 
 
 def parse_city_list(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,27 @@ def test_supplier_csv_counts_blank_records_and_quoted_line_ends(spark, tmp_path)
     assert [r.numero_linha for r in records.orderBy("numero_linha").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_supplier_csv_takes_a_stray_quote_as_a_character(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text('nome,cidade,uf\nLoja 5",Recife,PE\nAna,Lapa,SP\n"Bia"s,"Lapa\n2",PR\nDea,Lapa,RS\n')
+    rows = [tuple(r) for r in L.read_suppliers_csv(spark, str(path)).orderBy("numero_linha").collect()]
+    assert rows == [('Loja 5"', "Recife", "PE", 2), ("Ana", "Lapa", "SP", 3), ("Bias", "Lapa\n2", "PR", 4), ("Dea", "Lapa", "RS", 5)]
+
+
+@pytest.mark.parametrize("sep", [",", ";", "|"])
+def test_csv_records_are_those_of_the_csv_reader(spark, tmp_path, sep):
+    draw = random.Random(ord(sep))
+    lines = ["".join(draw.choice(f'ab""{sep}') for _ in range(draw.randint(0, 7))) for _ in range(600)] + ['"', "z"]
+    path = tmp_path / "f.csv"
+    path.write_text("\n".join(lines) + "\n")
+    records = L.csv_records(spark.read.text(str(path)), block=7, sep=sep)
+    found = {r.numero_linha: r.cells for r in records.select("numero_linha", L.csv_cells(F.col("record"), sep).alias("cells")).collect()}
+    with path.open(newline="") as f:
+        expected = [[c.removesuffix("\n") for c in r] or [""] for r in csv.reader(f, delimiter=sep)]
+    found = [[c.removesuffix("\n") for c in found[i + 1]] for i in range(len(found))]
+    assert found == expected
+
+
 def test_table_without_file_names_gets_its_units(spark):
     rows = [("2001-01-01", 0.0, 0.0, 0.001)]
     df = spark.createDataFrame(rows, "time string, lat double, lon double, pr double")
