@@ -104,7 +104,7 @@ def test_a_copied_passage_teaches_no_words(spark):
 
 
 def test_counts_are_those_of_a_plain_reading():
-    texts = ["You stupid IDIOT!! you are TRASH", "", "nice day, ist du da", "an id1ot and st*pid  w-o-r-d", "sooo baaad?! i d i o t", "ÄÖÜ ß Éa"]
+    texts = ["You stupid IDIOT!! you are TRASH", "", "nice day, ist du da", "an id1ot and st.upid  w-o-r-d", "sooo baaad?! i d i o t", "ÄÖÜ ß Éa"]
     lexicon = toxicity.Lexicon(toxicity._hashes(["stupid", "trash"]))
     counts = toxicity._counts_of(pa.array(texts), lexicon)
     for text, row in zip(texts, counts, strict=True):
