@@ -12,6 +12,7 @@ from checks.stress_queries import _NAMED, _STORED, some_municipalities, stored
 from garoa.functions import text as X
 from garoa.operators import results as R
 from garoa.operators import spatial
+from garoa.operators.sizing import keep
 from garoa.params import Aggregation, Page, ResultFilter, StressFilter
 from garoa.plans import result_queries as Q
 from garoa.sinks import tables as T
@@ -102,7 +103,9 @@ def _aggregated(name: str, fn: str, dims: tuple[str, ...], f: ResultFilter = Res
 
     @query(sql, "results", "runs", name=name)
     def aggregated(spark, sf):
-        out = Q.aggregate(results(spark, sf), Aggregation(fn, dims), f, B.runs(spark, sf), B.municipalities(spark, sf))
+        read = results(spark, sf)
+        stored = keep(read) if fn.startswith("p") else read
+        out = Q.aggregate(stored, Aggregation(fn, dims), f, B.runs(spark, sf), B.municipalities(spark, sf))
         return out.withColumn("valor", F.round("valor", 6))
 
 

@@ -29,6 +29,15 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
+def detached(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A reduced table of at most ``most`` rows without its lineage, so that no plan computes it again; a larger one is kept.
+
+    Plans that read a table twice may not recognise what is kept of it.
+    """
+    rows = df.head(most + 1)
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else keep(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread small rows that are costly to work on over all shuffle partitions.
 

@@ -125,6 +125,44 @@ def test_percentile_never_gathers_a_group(spark):
     assert out.head()["valor"] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("most", [None, 100])
+def test_percentile_brackets_ranks_by_sketches(spark, monkeypatch, most):
+    """A hot group, ties, NaN and infinity; with a low bound the brackets are sketched again."""
+    from garoa.operators import quantile
+
+    if most:
+        monkeypatch.setattr(quantile, "MOST", most)
+    odd = F.when(F.col("id") % 10 == 3, float("nan")).when(F.col("id") % 1000 == 8, float("inf")).when(F.col("id") % 1000 == 9, None)
+    value = odd.when(F.col("g").isNull(), F.floor(F.rand(1) * 5)).otherwise(F.exp(F.randn(2) * 9))
+    df = spark.range(60_000).withColumn("g", third("id", F.lit("hot"), F.when(F.col("id") % 7 > 0, (F.col("id") % 40).cast("string"))))
+    df = df.select("g", value.alias("v"))
+    df = df.persist()
+    for q in (0.5,) if most else (0.05, 0.5, 1.0):
+        got = {r.g: (repr(r.valor), r.n_amostras) for r in group_percentile(df, "v", ["g"], q).collect()}
+        want = {r.g: (repr(r.p), r.n) for r in df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("p"), F.count("v").alias("n")).collect()}
+        assert set(got) == set(want)
+        for g, (p, n) in got.items():
+            assert n == want[g][1] and (p == want[g][0] or float(p) == pytest.approx(float(want[g][0]), rel=1e-12)), (g, q)
+        whole = group_percentile(df, "v", [], q).head()
+        assert whole.n_amostras == df.filter("v is not null").count()
+    df.unpersist()
+
+
+def test_percentile_sorts_a_hundredth_of_a_group(spark):
+    from garoa.operators import quantile
+
+    df = spark.range(400_000).select(F.lit("g").alias("g"), F.rand(4).alias("v")).persist()
+    out = group_percentile(df, "v", ["g"], 0.95)
+    assert plan(out).count("Exchange hashpartitioning") <= 6 and out.count() == 1
+    sums = df.groupBy("g").agg(F.count("v").alias("inside"), quantile._ladder(F.col("v")).alias("ladder"))
+    rank = F.lit(0.95) * (F.col("inside") - 1)
+    state = sums.select("g", F.lit(0).alias("below"), "inside", "ladder", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.floor(rank).alias("lo"), F.ceil(rank).alias("hi"))
+    state = state.withColumn("hi", F.col("lo") + 1)
+    low, high = state.select(*quantile._bounds(1)).head()
+    assert df.filter((F.col("v") >= low) & (F.col("v") <= high)).count() < 400_000 * 0.02
+    df.unpersist()
+
+
 def test_sample_is_cut_before_the_shuffle(spark):
     cells = spark.range(5000).select(F.lit("pr").alias("variavel"), F.col("id").alias("municipio_id"))
     report = S.divergence_report(cells)
