@@ -246,6 +246,26 @@ def index_points_job(spark, sf):
     )
 
 
+_RUN = "'exec_' || CASE WHEN arquivo LIKE '%RCP85%' THEN 'rcp85' ELSE 'rcp26' END"
+
+
+@query(
+    f"""SELECT {_RUN} || '_' || ponto_id || '_' || arquivo || '_' || ano || '_' || nome_indice AS id, {_RUN} AS execucao_id, lat_grid AS lat,
+    lon_grid AS lon, s.lat AS lat_input, s.lon AS lon_input, ano, nome_indice, round(valor, 6) AS valor, unidade, NULL::BIGINT AS municipio_id
+    FROM ({_SNAPPED}) s JOIN (SELECT * REPLACE (CASE arquivo WHEN 'pr_A.nc' THEN 'pr_A_RCP85_day.nc' ELSE arquivo END AS arquivo) FROM long_runs) i
+    USING (iy, ix)""",
+    "points",
+    "cells",
+    "long_runs",
+)
+def index_points_stored(spark, sf):
+    grid = B.grid_pr_runs(spark, sf)
+    name = F.when(F.col("arquivo") == "pr_A.nc", "pr_A_RCP85_day.nc").otherwise(F.col("arquivo"))
+    run = F.concat(F.lit("exec_"), rain_jobs.scenario_of_run(X.infer_scenario(F.col("arquivo"), []), "rcp26"))
+    out = rain_jobs.index_points(grid.withColumn("arquivo", name), B.points(spark, sf), PARAMS, run)
+    return out.withColumn("valor", F.round("valor", 6))
+
+
 @query(
     """SELECT c_custkey, regexp_extract(lower(nome), '(rcp[0-9]{2}|ssp[0-9]{3})', 1) AS achado FROM (
       SELECT c_custkey, c_name || CASE c_custkey % 4 WHEN 0 THEN '_RCP45_day.nc' WHEN 1 THEN '_ssp585.nc' WHEN 2 THEN '_rcp8_ssp12.nc'

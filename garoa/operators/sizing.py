@@ -53,7 +53,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 
     The planner guesses the size of an aggregate or a join from its inputs, so a
     handful of rows reduced from a huge grid would otherwise be shuffle-joined.
-    The table is kept so that the count adds no second pass. Above the bound the
+    The table is kept so that the count adds no second pass, and counted by partial sums. Above the bound the
     plain join stays and the planner picks its strategy.
     """
     kept = keep(df)
@@ -61,5 +61,5 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     most = most if max_rows is None else min(most, max_rows)
     wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind == "string" or "<" in kind]
     text = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
-    [(rows, size)] = kept.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).head(1)
+    [(rows, size)] = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).head(1)
     return F.broadcast(kept) if rows <= most and size <= BROADCAST_BYTES else kept

@@ -137,7 +137,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
         top.alias("tops"),
     )
     in_branch = _branch(targets, "tops").withColumnsRenamed({"ty": "by", "tx": "bx"})
-    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    small = leaves.count() <= BROADCAST_LEAVES
     inner, outer = branches.select("by", "bx", "leaves"), leaves.select("ty", "tx", "cells")
     if small:
         inner, outer = F.broadcast(inner), F.broadcast(outer)

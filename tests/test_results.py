@@ -109,6 +109,15 @@ def test_percentile_equals_quantiles(spark, q):
         assert got[k][0] == pytest.approx(want, rel=1e-9, abs=1e-15) and got[k][1] == len(vs)
 
 
+@pytest.mark.parametrize("fn", ["media", "p50", "count"])
+def test_groups_come_in_ascending_key_order(spark, fn):
+    rows = [(f"i{k % 3}", 2000 + k * 7 % 11 if k % 5 else None, float(k)) for k in range(200)]
+    table = spark.createDataFrame(rows, "nome_indice string, ano int, valor double").repartition(7)
+    table = table.withColumn("municipio_id", F.lit(1).cast("bigint"))
+    got = [(r.ano, r.nome_indice) for r in Q.aggregate(table, Aggregation(fn, ("ano", "nome_indice"))).collect()]
+    assert got == sorted(set(got), key=lambda g: (g[0] is not None, g)) and len(got) > 20
+
+
 def test_vocabularies_and_counters(spark, stored, runs):
     row = R.stats_summary(stored, runs).head()
     assert row["cenarios"] == ["rcp45", "rcp85"] and row["anos"] == [2030, 2031] and row["variaveis"] == ["pr"]
