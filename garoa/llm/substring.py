@@ -215,14 +215,15 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _search(pa.concat_tables(held))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, low, high`` of words that windows repeating an older one cover, and the documents by id.
+def repeats(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, low, high`` of words that windows repeating an older one cover, and ``columns`` of the documents with an id.
 
     Older is a smaller id, or the same and an earlier word. Every repeated window
-    lies in a reported stretch; stretches overlap.
+    lies in a reported stretch; stretches overlap. Texts are joined by id with all
+    their ``columns``, so that every join of the plan reads one and the same exchange.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.where("doc_id is not null")
+    texts = docs.where("doc_id is not null").select(*columns)
     plain = texts.select("doc_id", "text")
     kind = "anchor long, segment long, doc_id long, start int, windows int, known boolean"
     counts = plain.mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
@@ -238,7 +239,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def with_texts(segments: DataFrame) -> DataFrame:
         listed = segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("segments"))
-        return plain.join(listed.hint("merge"), "doc_id")
+        return texts.join(listed.hint("merge"), "doc_id")
 
     pieces = with_texts(several.where(F.col("crowd") <= CROWD))
     pieces = pieces.mapInArrow(_pieces, "anchor long, doc_id long, start int, words array<long>")
@@ -253,9 +254,9 @@ def _crowded_repeats(segments: DataFrame) -> DataFrame:
     """Windows of crowded anchors that are not the oldest of their equals, one by one.
 
     They are aggregated before they move, so neither an anchor nor a window is
-    gathered in one task.
+    gathered in one task. They are made twice, from the same exchange of texts.
     """
-    windows = checkpointed(segments.mapInArrow(_single_windows, "code long, check long, doc_id long, start int"))
+    windows = segments.mapInArrow(_single_windows, "code long, check long, doc_id long, start int")
     oldest = windows.groupBy("code", "check").agg(F.min(F.struct("doc_id", "start")).alias("oldest"), F.count("*").alias("n"))
     met = windows.join(oldest.where("n > 1").drop("n").hint("merge"), ["code", "check"])
     late = met.where(F.struct("doc_id", "start") != F.col("oldest"))
@@ -304,11 +305,11 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataF
     would, by word number. Other columns are ignored unless carried; their names may be
     anything but the result's. An empty table gives an empty result.
     """
-    stretches, texts = repeats(docs)
-    cuts = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
     columns = list(dict.fromkeys((*carry, "doc_id", "text")))
+    stretches, texts = repeats(docs, columns)
+    cuts = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
     none = F.array().cast("array<struct<low:int,high:int>>")
-    joined = texts.select(*columns).join(cuts.hint("merge"), "doc_id", "left").withColumn("cuts", F.coalesce("cuts", none))
+    joined = texts.join(cuts.hint("merge"), "doc_id", "left").withColumn("cuts", F.coalesce("cuts", none))
     nameless = docs.where("doc_id is null").select(*columns, none.alias("cuts"))
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes)
 
