@@ -3,6 +3,7 @@
 Two texts are alike by the blended spectrum of byte n-grams present in both,
 normalised by their numbers. A bounded sample gives Nyström landmarks and a
 one-versus-rest kernel ridge regression; scoring is two matrix products a batch.
+A long text is scored in parts, whose scores are averaged by their bytes.
 """
 
 from __future__ import annotations
@@ -27,9 +28,31 @@ SAMPLE_OF_LANGUAGE = 500
 SAMPLE = 10_000
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: Bytes after which a longer text is cut, at white space; its parts are scored each and weigh by their bytes.
+#: A part of natural text holds far fewer distinct n-grams than there are slots.
+PART_BYTES = 6_000
 _ROWS = 256
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the parts of each row, and the row of each part; a short or empty row is one part."""
+    bounds, rows = [np.zeros(1, np.int64)], []
+    for row in range(len(offsets) - 1):
+        begin, end = int(offsets[row]), int(offsets[row + 1])
+        cuts = []
+        while end - begin > PART_BYTES * 3 // 2:
+            low = begin + PART_BYTES
+            near = data[low : low + PART_BYTES // 2]
+            places = np.flatnonzero((near == 32) | (near == 10))
+            if not len(places):
+                places = np.flatnonzero((near & 0xC0) != 0x80)
+            begin = low + int(places[0])
+            cuts.append(begin)
+        bounds.append(np.array([*cuts, end], np.int64))
+        rows.append(np.full(len(cuts) + 1, row))
+    return np.concatenate(bounds), np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which hashed n-grams each row holds, as 0 and 1; A-Z count as a-z."""
     n = len(offsets) - 1
@@ -72,8 +95,18 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram bits of each text; of a longer one, those of a part that its id names."""
     for batch in by_bytes(batches, limit=1 << 20):
-        bits = np.packbits(presence(*offsets_of(batch.column("text"))).astype(bool), axis=1)
+        data, offsets = offsets_of(batch.column("text"))
+        bounds, rows = parts(data, offsets)
+        first = np.searchsorted(rows, np.arange(batch.num_rows))
+        many = np.bincount(rows, minlength=batch.num_rows)
+        ids = batch.column("doc_id").to_numpy().astype(np.int64)
+        part = first + (ids % many)
+        lengths = bounds[part + 1] - bounds[part]
+        own = np.append(0, np.cumsum(lengths))
+        take = np.repeat(bounds[part] - own[:-1], lengths) + np.arange(own[-1])
+        bits = np.packbits(presence(data[take], own).astype(bool), axis=1)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("lang"), pa.array([x.tobytes() for x in bits], pa.binary())],
             names=["doc_id", "lang", "bits"],
@@ -83,18 +116,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame) -> Model:
     """A model of ``labelled(doc_id, text, lang)``; rows without text, language or id are not used.
 
-    The sample is bounded by ``SAMPLE_OF_LANGUAGE`` and ``SAMPLE`` rows, chosen by a
-    seeded hash; only its packed n-gram bits come to the driver, 2 kB a row.
+    The sample is bounded by ``SAMPLE_OF_LANGUAGE`` and ``SAMPLE`` pairs of id and
+    language, chosen by a seeded hash; however many rows have them, one of each comes to the driver, as packed
+    n-gram bits of 2 kB.
     """
     usable = labelled.where("doc_id is not null and lang is not null and text is not null")
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("k"))
     chosen = ranked.where(F.col("k") <= SAMPLE_OF_LANGUAGE).orderBy("k", *order).limit(SAMPLE)
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]
-    rows = []
-    if ids:
-        picked = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text")
-        rows = picked.mapInArrow(_features, "doc_id long, lang string, bits binary").collect()
+    pairs = F.broadcast(chosen.select("doc_id", "lang").distinct())
+    picked = usable.select("doc_id", "lang", "text").join(pairs, ["doc_id", "lang"])
+    made = picked.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_features, "doc_id long, lang string, bits binary")
+    rows = made.groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
     languages = sorted({r.lang for r in rows})
     if not languages:
@@ -127,11 +160,16 @@ def language_of(model: Model):
             return pa.array([{"lang_pred": UNKNOWN, "score": 0.0}] * n, kind)
         if not ready:
             ready.append(model.landmarks())
-        best, score = np.zeros(n, np.int64), np.zeros(n)
-        for begin in range(0, n, _ROWS):
-            values = model.scores(presence(*offsets_of(column.slice(begin, _ROWS))), ready[0])
-            best[begin : begin + _ROWS] = values.argmax(1)
-            score[begin : begin + _ROWS] = values.max(1)
+        data, offsets = offsets_of(column)
+        bounds, rows = parts(data, offsets)
+        total = np.zeros((n, len(model.languages)))
+        for begin in range(0, len(rows), _ROWS):
+            own = bounds[begin : begin + _ROWS + 1]
+            size = np.diff(own)
+            values = model.scores(presence(data[own[0] : own[-1]], own - own[0]), ready[0])
+            np.add.at(total, rows[begin : begin + _ROWS], values * np.maximum(size, 1)[:, None])
+        total /= np.maximum(np.diff(offsets), 1)[:, None]
+        best, score = total.argmax(1), np.clip(total.max(1), 0, 1)
         names = pa.array(model.languages, pa.string()).take(pa.array(best))
         return pa.StructArray.from_arrays([names, pa.array(score)], fields=list(kind))
 

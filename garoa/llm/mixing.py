@@ -19,6 +19,8 @@ from garoa.llm.shared import checkpointed, offsets_of, row_udf
 SHARE = 1.5
 EPOCHS = 2
 SEED = 20
+#: Patterns that a flow on the driver may route; of sources that no document shares with another, none is.
+FLOW_PATTERNS = 4_000
 #: Documents of a seeded bucket, about; running sums are made inside buckets.
 BUCKET_ROWS = 20_000
 
@@ -100,6 +102,18 @@ def min_cost_flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequenc
             arcs[k ^ 1][1] += amount
 
 
+def routed(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], epochs: int = EPOCHS) -> list[dict[int, int]]:
+    """As ``min_cost_flow``; a source that no pattern shares has no choice and fills its quota from its own words."""
+    shared = {s for sources, _ in patterns if len(sources) > 1 for s in sources}
+    out = [{s: min(quotas[s], epochs * size) for s in sources if s not in shared} for sources, size in patterns]
+    tied = [i for i, (sources, _) in enumerate(patterns) if shared.intersection(sources)]
+    if len(tied) > FLOW_PATTERNS:
+        raise ValueError(f"{len(tied)} membership patterns of overlapping sources are more than {FLOW_PATTERNS}")
+    for i, given in zip(tied, min_cost_flow([patterns[i] for i in tied], quotas, epochs), strict=True):
+        out[i] = given
+    return out
+
+
 def _name(source) -> F.Column:
     """A source as a key without nulls."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
@@ -112,23 +126,28 @@ def mix(
     epochs: int = EPOCHS,
     weigh: Callable[[int], Sequence[float]] = repeating_weights,
     seed: int = SEED,
+    seeded_by: Sequence[str] = ("doc_id", "text"),
 ) -> DataFrame:
     """``doc_id, size, sources, taken, takes`` per row, and with one source each ``source_size, target``.
 
     ``sources`` is an array column: the sources a row of ``docs(doc_id, text, ...)``
     belongs to; null is a source of its own and sorts last. Documents are summed by
     membership pattern. The driver sees one row per source and pattern, never a
-    document, and routes each pattern's words to the quotas of its sources. Then
+    document, and routes each pattern's words to the quotas of its sources, by a flow
+    where sources overlap. Then
     each pattern's words lie on a tape in seeded order, once per epoch, and the
     flow takes a piece of the tape for each source: whole documents, but for one
     cut at a word at each end of a piece. ``taken`` is at most ``epochs`` times
-    ``size``. A null or wordless text has size 0 and takes 0; repeated rows are
-    documents of their own; a null id is hashed as null; an empty table gives an
-    empty result.
+    ``size``. The seeded order is that of a hash of ``seeded_by``. A null or wordless
+    text has size 0 and takes 0; repeated rows are documents of their own, one after
+    the other in that order; rows without id are told apart by text; an empty table
+    gives an empty result. More than ``FLOW_PATTERNS`` patterns of overlapping sources
+    are an error.
     """
     spark = docs.sparkSession
     keys = F.array_sort(F.array_distinct(F.transform(sources, _name)))
-    sized = checkpointed(docs.select("doc_id", keys.alias("sources"), word_count("text").alias("size")))
+    place = F.xxhash64(F.lit(seed), *seeded_by).alias("place")
+    sized = checkpointed(docs.select("doc_id", keys.alias("sources"), word_count("text").alias("size"), place))
     sums = sized.groupBy("sources").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     names = sorted({s for r in sums for s in r.sources}, key=lambda s: (s == "null", s))
     at = {s: i for i, s in enumerate(names)}
@@ -138,7 +157,7 @@ def mix(
             sizes[at[s]] += r.words
     wanted = targets(sizes, weigh(len(names)), share * sum(r.words for r in sums), epochs)
     patterns = [([at[s] for s in r.sources], r.words) for r in sorted(sums, key=lambda r: r.sources)]
-    flow = min_cost_flow(patterns, [math.floor(t) for t in wanted], epochs)
+    flow = routed(patterns, [math.floor(t) for t in wanted], epochs)
     pieces = []
     for (members, words), given in zip(patterns, flow, strict=True):
         cut = np.cumsum([0, *(given[s] for s in members)])
@@ -149,8 +168,7 @@ def mix(
     stated = spark.createDataFrame(list(zip(([n] for n in names), sizes, wanted, strict=True)), "sources array<string>, source_size long, target double")
 
     buckets = max(1, math.ceil(sum(r.rows for r in sums) / BUCKET_ROWS))
-    spread = sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
-    spread = spread.withColumn("bucket", F.pmod("place", F.lit(buckets)))
+    spread = sized.withColumn("bucket", F.pmod("place", F.lit(buckets)))
     before = Window.partitionBy("sources").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = spread.groupBy("sources", "bucket").agg(F.sum("size").alias("inside"))
     filled = filled.select("sources", "bucket", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("offset"))

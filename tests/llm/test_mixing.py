@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from llm.helpers import docs, odd_texts, prose
 from pyspark.sql import functions as F
 
@@ -86,3 +87,20 @@ def test_overlapping_sources_share_documents(spark):
 
 def test_no_rows(spark):
     assert mixing.mix(docs(spark, []), F.array("source")).collect() == []
+
+
+def test_sources_of_their_own_need_no_flow():
+    patterns = [([0], 50), ([1], 10), ([2, 3], 40), ([3], 5), ([], 3)]
+    quotas = [70, 40, 30, 60]
+    assert mixing.routed(patterns, quotas) == mixing.min_cost_flow(patterns, quotas)
+    many = [([i], 10) for i in range(100_000)]
+    assert mixing.routed(many, [15] * 100_000)[-1] == {99_999: 15}
+    with pytest.raises(ValueError, match="membership patterns"):
+        mixing.routed([([i, i + 1], 1) for i in range(5000)], [1] * 5001)
+
+
+def test_rows_without_id_are_spread_by_text(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('w ', id) text", "'s' source")
+    out = mixing.mix(rows, mixing.F.array("source"), share=0.5)
+    assert out.agg(mixing.F.sum("taken")).head()[0] == 3000
+    assert 1400 < out.where("taken > 0").count() < 1600

@@ -6,6 +6,7 @@ import re
 import tempfile
 
 import corpus_pipeline
+import pytest
 from llm.helpers import docs, prose
 from llm.test_decontaminate import brute as leaks_of
 from llm.test_near_dedup import brute as groups_of
@@ -66,3 +67,25 @@ def test_stages_take_odd_rows_extra_columns_and_no_rows(spark):
 def test_run_is_repeatable(spark):
     first, second = (sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "taken").collect())) for _ in range(2))
     assert first == second and len(first) > 50
+
+
+def stored(spark, tmp_path, df):
+    path = str(tmp_path / "docs")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_one_row_stays_of_copies_with_repeated_and_missing_ids(spark, tmp_path):
+    text = " ".join(prose(3, 60))
+    other = " ".join(prose(4, 60))
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (None, other), (None, other), (5, None), (None, None), (6, "")]
+    kept = corpus_pipeline.one_of_near_copies(spark, stored(spark, tmp_path, docs(spark, rows, "component_id kept")), SF).collect()
+    found = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in kept)
+    assert found == sorted([((False, 1), text), ((True, 0), other), ((False, 5), ""), ((True, 0), ""), ((False, 6), "")])
+
+
+@pytest.mark.parametrize(("n", "words", "size"), [(4, "one", 6), (3, "one two three", 13)])
+def test_mix_loses_no_words_of_equal_rows(spark, tmp_path, n, words, size):
+    table = stored(spark, tmp_path, docs(spark, [(1, words, "en", "s")] * n))
+    taken = [r.taken for r in corpus_pipeline.mixed(spark, table, SF).collect()]
+    assert sum(taken) == size and max(taken) <= 2 * len(words.split())
