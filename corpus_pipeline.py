@@ -25,9 +25,19 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id; rows without id stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the one of least id, rows without id last.
+
+    Rows are numbered as they are read, so ``docs`` is a stored table; repeated
+    rows, and rows of one id or of none, are rows of their own.
+    """
+    row, first = uuid.uuid4().hex, uuid.uuid4().hex
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = near_dedup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    ranked = numbered.select(row, "doc_id").join(groups.hint("merge"), row)
+    kept = ranked.groupBy("component_id").agg(F.min(order).alias(first)).select(F.col(first)[row].alias(row))
+    return numbered.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +59,23 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; texts that are null or too short for one stay."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``taken``, the words it takes of each, repeats counted."""
-    key, words = uuid.uuid4().hex, uuid.uuid4().hex
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
-    chosen = mixing.mix(keyed.select(F.col(key).alias("doc_id"), "text", "source"), F.array("source"))
-    chosen = chosen.groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.avg("taken")).alias(words)).where(F.col(words) > 0)
+    """Documents that the mix takes, with ``taken``, the words it takes of each, repeats counted.
+
+    Rows are numbered as they are read, so ``docs`` is a stored table, and each
+    row has its own words; their order in the mix is that of their contents.
+    """
+    row, words, mark = uuid.uuid4().hex, uuid.uuid4().hex, uuid.uuid4().hex
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    marked = numbered.select(F.col(row).alias("doc_id"), "text", "source", F.xxhash64("doc_id", "text", "source").alias(mark))
+    chosen = mixing.mix(marked, F.array("source"), seeded_by=(mark,))
+    chosen = chosen.where(F.col("taken") > 0).select(F.col("doc_id").alias(row), F.col("taken").alias(words))
     kept = [c for c in docs.columns if c != "taken"]
-    return keyed.join(chosen.hint("merge"), key).select(*kept, F.col(words).alias("taken"))
+    return numbered.join(chosen.hint("merge"), row).select(*kept, F.col(words).alias("taken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
