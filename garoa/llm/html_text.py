@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +24,14 @@ from garoa.llm.shared import arrow_batch, by_bytes
 SMOOTH = (0.25, 0.5, 0.25)
 SPREAD = 0.5
 LINKS = 0.8
+#: A side part that holds so much of the page's prose is a wrapper; texts of so many characters outside links are prose.
+WRAPPER, PROSE = 0.6, 60
+#: Share of links in a part with a weak name, above which it is a side part.
+WEAK_LINKS = 0.3
 
 # HTML's void, raw-text and block elements, and what closes an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math select".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table "
@@ -43,14 +47,21 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"table", "tr"}),
 }
 # Names of what is not the article.
-SIDE_TAGS = frozenset("nav footer aside form button dialog head menu label input object".split())
+SIDE_TAGS = frozenset("nav footer aside form button dialog head menu input object".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 SIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar "
-    "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
-    "discussion widget widgets pager pagination login search skip copyright disclaimer".split()
+    "share sharing social comment comments commentlist disqus reply replies respond "
+    "widget widgets pager pagination login skip copyright disclaimer".split()
+)
+#: Names that articles use as well: such a part is one by its links and short texts, not by its name.
+WEAK_NAMES = frozenset("related recommended recommendations discussion search".split())
+#: Names that no wrapper of an article has, however much text it holds.
+NO_WRAPPER = frozenset(
+    "comment comments commentlist disqus reply replies respond nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr popup modal overlay".split()
 )
 HEADER_NAMES = frozenset("header pageheader siteheader topheader".split())
 
@@ -68,26 +79,35 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    """An open or closed element: its tag, parent, path, and what it is named."""
+    """An element: its tag, parent and path, what it is named, and what lies in and above it.
+
+    All but the sums below it is known from its parent; ``_settle`` adds those.
+    """
 
-    __slots__ = ("tag", "parent", "path", "side", "top", "landmark", "holds", "depth")
+    __slots__ = (
+        "tag", "parent", "path", "side", "weak", "fixed", "top", "landmark", "holds", "depth", "index", "last",
+        "linked", "framed", "outer", "nearest", "chars", "links", "prose", "sider",
+    )
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, attributes: str, index: int, paths: dict):
+        self.tag, self.parent, self.index, self.last = tag, parent, index, index
         self.depth = parent.depth + 1 if parent else 0
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        self.framed = bool(parent and (parent.framed or parent.tag in ("article", "main")))
         self.side = tag in SIDE_TAGS or tag in RAW
-        self.landmark, self.holds, self.top = tag in ("article", "main"), 0, False
+        self.weak = self.fixed = self.top = False
+        self.landmark = tag in ("article", "main")
+        self.chars = self.links = self.prose = 0
+        self.sider: Element | None = None
         label = tag
         if attributes.strip():
             label += self._read(attributes)
-        if tag == "header" and not self.inside("article", "main"):
+        if tag == "header" and not self.framed:
             self.top = True
-        self.path = f"{parent.path}/{label}" if parent else label
-        holds = 2 if self.landmark else int(tag == "h1")
-        up = parent
-        while up and up.holds < holds:
-            up.holds = holds
-            up = up.parent
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
+        self.holds = 2 if self.landmark else int(tag == "h1")
+        self.outer = (parent.outer if parent else None) or (self if self.landmark and tag != "main" else None)
+        self.nearest = self if self.landmark else parent.nearest if parent else None
 
     def _read(self, attributes: str) -> str:
         found = {}
@@ -99,42 +119,66 @@ class Element:
         self.landmark |= role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
         if self.tag not in ("html", "body", "main", "article"):
             self.side |= bool(words & SIDE_NAMES) or role in SIDE_ROLES
-            self.top |= bool(words & HEADER_NAMES) and not self.inside("article", "main")
+            self.weak = bool(words & WEAK_NAMES) and self.tag in BLOCK
+            self.top |= bool(words & HEADER_NAMES) and not self.framed
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        self.side |= hidden or "display:none" in found.get("style", "").replace(" ", "").lower()
+        hidden |= "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.side |= hidden
+        self.fixed = hidden or bool(words & NO_WRAPPER) or self.tag in ("nav", "dialog", "head", "menu", "button")
         return "." + ".".join(sorted(words)) if words else ""
 
-    def inside(self, *tags: str) -> bool:
-        up = self.parent
-        while up:
-            if up.tag in tags:
-                return True
-            up = up.parent
-        return False
-
-    def aside(self, below: Element | None = None) -> bool:
-        """Whether it lies in a side part, under ``below`` if given.
+    def is_side(self, page: Element) -> bool:
+        """Whether it is a part beside the article, by itself; ``page`` is the root.
 
         A part that is one by its name alone is none if it holds the article or
-        its title; a page header is none only if it holds the article.
+        its title; a page header is none only if it holds the article. One that
+        holds most of the page's prose, and its article or title if it has one, is a
+        wrapper. A weak name counts only with
+        many links or without prose.
         """
-        at = self
-        while at and at is not below:
-            if at.top and at.holds < 2 or at.side and not (at.holds and at.tag not in RAW and at.tag not in SIDE_TAGS):
-                return True
-            at = at.parent
-        return False
+        most = page.prose > 0 and self.prose >= WRAPPER * page.prose and self.holds >= page.holds
+        if most and not self.fixed and self.tag not in RAW:
+            return False
+        if self.weak and (self.prose == 0 or self.links > WEAK_LINKS * self.chars) and not self.holds:
+            return True
+        named = self.side and not (self.holds and self.tag not in RAW and self.tag not in SIDE_TAGS)
+        return named or self.top and self.holds < 2
+
+    def aside(self, below: Element | None = None) -> bool:
+        """Whether it lies in a side part, under ``below`` if given."""
+        return self.sider is not None and (below is None or self.sider.depth > below.depth)
 
     def under(self, other: Element) -> bool:
-        at = self
-        while at and at.depth > other.depth:
-            at = at.parent
-        return at is other
+        return other.index <= self.index <= other.last
+
+
+def _settle(elements: list[Element], nodes: list[tuple[Element, str, int]]) -> None:
+    """Sums of what each element holds, from the last to the first; then, from the first, the side part it lies in."""
+    for element, text, _ in nodes:
+        size = len(text.strip())
+        element.chars += size
+        if element.linked:
+            element.links += size
+        elif size >= PROSE:
+            element.prose += size
+    for element in reversed(elements):
+        up = element.parent
+        if up is not None:
+            up.last = max(up.last, element.last)
+            up.chars += element.chars
+            up.links += element.links
+            up.prose += element.prose
+            up.holds = max(up.holds, element.holds)
+    for element in elements:
+        own = element.is_side(elements[0])
+        element.sider = element if own else element.parent.sider if element.parent else None
 
 
 def texts(page: str) -> list[tuple[Element, str, int]]:
     """Every text of a page in order: its element, decoded, and the number of its block."""
-    at = Element("", None, "")
+    paths: dict[tuple[int, str], int] = {}
+    at = Element("", None, "", 0, paths)
+    elements, number = [at], Counter()
     out: list[tuple[Element, str, int]] = []
     block, begin = 0, 0
 
@@ -142,6 +186,13 @@ def texts(page: str) -> list[tuple[Element, str, int]]:
         if text:
             out.append((at, html.unescape(text), block))
 
+    def leave(to: Element) -> Element:
+        up = at
+        while up is not to:
+            number[up.tag] -= 1
+            up = up.parent
+        return to
+
     match = _TAG.search(page)
     while match:
         add(page[begin : match.start()])
@@ -154,30 +205,35 @@ def texts(page: str) -> list[tuple[Element, str, int]]:
             if tag == "br" and not closing:
                 out.append((at, " ", block))
             if closing:
-                open_ = at
-                while open_.parent and open_.tag != tag:
-                    open_ = open_.parent
-                if open_.parent:
-                    at = open_.parent
+                if number[tag]:
+                    open_ = at
+                    while open_.tag != tag:
+                        open_ = open_.parent
+                    at = leave(open_.parent)
             else:
-                at = _closed_by(tag, at)
+                at = leave(_closed_by(tag, at, number))
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, begin)
                     begin = end.end() if end else len(page)
                 elif tag not in VOID:
-                    at = Element(tag, at, match[3] or match[6] or "")
+                    at = Element(tag, at, match[3] or match[6] or "", len(elements), paths)
+                    elements.append(at)
+                    number[tag] += 1
         match = _TAG.search(page, begin)
     add(page[begin:])
+    _settle(elements, out)
     return out
 
 
-def _closed_by(tag: str, at: Element) -> Element:
-    """Where a new element goes: open elements that it ends are left."""
+def _closed_by(tag: str, at: Element, number: Counter) -> Element:
+    """Where a new element goes: open elements that it ends are left. ``number`` counts the open ones of each tag."""
     ends, stops = ({"p"}, {"button", "table", "td", "th"}) if tag in CLOSES_P else (set(), set())
     more, more_stops = SIBLINGS.get(tag, (set(), set()))
     for names, limits in ((ends, stops), (more, more_stops)):
         up, last = at, None
-        while names and up.parent and up.tag not in limits:
+        if not any(number[n] for n in names):
+            continue
+        while up.parent and up.tag not in limits:
             if up.tag in names:
                 last = up
             up = up.parent
@@ -186,7 +242,7 @@ def _closed_by(tag: str, at: Element) -> Element:
     return at
 
 
-def content_paths(nodes: list[tuple[Element, str, int]]) -> set[str]:
+def content_paths(nodes: list[tuple[Element, str, int]]) -> set[int]:
     """Paths whose fused and smoothed ratios stand out of the page's spread."""
     length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
     for element, text, _ in nodes:
@@ -201,7 +257,7 @@ def content_paths(nodes: list[tuple[Element, str, int]]) -> set[str]:
     smooth = [sum(w * edge[i + j] for j, w in enumerate(SMOOTH)) if row[i] else 0.0 for i in range(len(row))]
     mean = sum(smooth) / len(smooth)
     limit = SPREAD * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    by_path: dict[str, list[float]] = defaultdict(list)
+    by_path: dict[int, list[float]] = defaultdict(list)
     for (element, _, _), s in zip(nodes, smooth, strict=True):
         by_path[element.path].append(s)
     return {p for p, s in by_path.items() if sum(s) / len(s) >= limit and any(s)}
@@ -215,15 +271,7 @@ def container(nodes: list[tuple[Element, str, int]]) -> Element | None:
         return None
     weight: dict[Element, int] = defaultdict(int)
     for element, text in chosen:
-        at, mark = element, None
-        while at:
-            mark = at if at.landmark and at.tag != "main" else mark
-            at = at.parent
-        if mark is None:
-            at = element
-            while at and not at.landmark:
-                at = at.parent
-            mark = at
+        mark = element.outer or element.nearest
         if mark:
             weight[mark] += len(text)
     if weight:
@@ -250,7 +298,7 @@ def main_text(page: str | None) -> str:
     for element, text, block in nodes:
         if element.under(home) and not element.aside(home):
             blocks[block].append(text)
-            if loose and (element.tag == "a" or element.inside("a")):
+            if loose and element.linked:
                 linked[block] += len(text.strip())
     out = []
     for block, parts in blocks.items():

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+import statistics
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from garoa.llm import html_text
@@ -64,3 +71,85 @@ def test_table_of_odd_rows(spark):
 
 def test_deep_nesting_is_no_problem():
     assert html_text.main_text("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
+
+
+SENTENCE = "A sentence of the article, long enough to be prose; with marks, and more of them. And another one!"
+P = f"<p>{SENTENCE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<form><article><h1>T</h1>{P}</article></form>", ["T", SENTENCE]),
+        (f"<form id='aspnet'><h1>T</h1>{P}{P}</form><div class='footer'>Imprint</div>", ["T", SENTENCE, SENTENCE]),
+        (f"<div class='with-sidebar'>{P}{P}</div>", [SENTENCE, SENTENCE]),
+        (f"<article>{P}<section id='discussion'><h2>D</h2>{P}</section></article>", [SENTENCE, "D", SENTENCE]),
+        (f"<article>{P}<section class='related-work'>{P}</section></article>", [SENTENCE, SENTENCE]),
+        (f"<article>{P}<div class='related'><a href='x'>More</a> <a href='y'>Yet more</a></div></article>", [SENTENCE]),
+        (f"<article>{P}<p>See <math><mi>x</mi></math> and <label>this</label> <span class='search'>here</span>.</p></article>", [SENTENCE, "See x and this here."]),
+        (f"<article>{P}</article><div class='comments'>{P * 20}</div>", [SENTENCE]),
+        (f"<body><nav>{'<a href=z>Home</a>' * 9}</nav>{P}{P}<aside><article>{P[:40]}</article></aside></body>", None),
+    ],
+)
+def test_names_alone_decide_nothing(page, blocks):
+    found = html_text.main_text(page).split("\n\n")
+    if blocks is not None:
+        assert found == blocks
+    assert "Home" not in found
+
+
+def test_unclosed_and_stray_tags_take_constant_work():
+    start = time.perf_counter()
+    for page in ("<article>" + "<font>" * 20_000 + P, "<article>" + "<b>" * 9000 + "</i>" * 20_000 + P, "<article>" + "<div>" * 5000 + P):
+        assert SENTENCE in html_text.main_text(page)
+    assert time.perf_counter() - start < 6
+
+
+def plain_paths(page: str) -> list[tuple[str, str]]:
+    """Path and text of each text of a well-formed page, by the standard parser."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.path, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            words = sorted(set(re.findall(r"[a-z0-9]+", (dict(attrs).get("class") or "").lower())))
+            self.path.append(".".join([tag, *words]))
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            self.out.append(("/".join(self.path), data))
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return reader.out
+
+
+def test_paths_are_chosen_by_their_ratios():
+    draw = random.Random(2)
+    for _ in range(40):
+        parts = []
+        for _ in range(draw.randint(3, 14)):
+            words = " ".join(draw.choice(["word", "other,", "end."]) for _ in range(draw.choice([2, 3, 25, 60])))
+            kind = draw.choice(["p", "div class='x'", "div class='y z'", "li", "a"])
+            parts.append(f"<{kind}>{words}</{kind.split()[0]}>")
+        page = f"<html><body><div class='one'>{''.join(parts)}</div></body></html>"
+        nodes = plain_paths(page)
+        score = {}
+        for path in {p for p, _ in nodes}:
+            own = [t for p, t in nodes if p == path]
+            marks = sum(c in ".,;:!?" for t in own for c in t)
+            score[path] = sum(len(t) for t in own) / len(own) * math.log1p(1 + marks / len(own))
+        row = [0.0 if p.endswith("/a") else score[p] for p, _ in nodes]
+        wide = [row[0], *row, row[-1]]
+        smooth = [sum(w * wide[i + j] for j, w in enumerate((0.25, 0.5, 0.25))) if row[i] else 0.0 for i in range(len(row))]
+        limit = 0.5 * statistics.pstdev(smooth)
+        mean = {p: statistics.fmean(s for (q, _), s in zip(nodes, smooth, strict=True) if q == p) for p, _ in nodes}
+        want = [t for p, t in nodes if mean[p] > 0 and mean[p] >= limit - 1e-9] if any(row) else []
+        mine = html_text.texts(page)
+        chosen = html_text.content_paths(mine)
+        assert [t for e, t, _ in mine if e.path in chosen] == want
