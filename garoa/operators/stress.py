@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from garoa.errors import GridReadError, NotFoundError
 from garoa.functions import numeric as N
-from garoa.operators.sizing import broadcast_if_small
+from garoa.functions import text as X
+from garoa.operators.sizing import broadcast_if_small, detached
 from garoa.params import StressParams
 
 # The three climate variables.
 VARIABLES = ("pr", "tas", "evspsbl")
 
+#: Rows of a step index, of at most 4 kB each, that are detached from the grid; a larger one is kept.
+INDEX_ROWS = 2_000
+#: Contested series that are named one by one; beyond it all series are looked at.
+MAX_SERIES = 50
+
 # Which of (pr, tas, evspsbl) a municipality is mapped in -> category.
 DIVERGENCE = {
     (True, True, False): "em_pr_tas_mas_nao_evap",
@@ -45,18 +51,70 @@ def normalize_calendar(grid: DataFrame) -> DataFrame:
     return grid.withColumn("t", t).filter(F.col("t").isNotNull())
 
 
-def keep_first_file(grid: DataFrame) -> DataFrame:
+def step_index(grid: DataFrame) -> DataFrame:
+    """Which time steps each file has, as bitmaps of days: a small table that one narrow pass makes.
+
+    A row per scenario, variable, file, time of day and 32,768 days, with
+    ``dias``, a bitmap of its days, ``inicio``, ``fim`` and, where the grid knows
+    the files' own scenarios, ``outro`` if that is another one. Bitmaps are built before
+    the shuffle, so a task sends a few rows per file.
+    """
+    day = F.unix_date(F.col("t").cast("date")).cast("bigint")
+    time = (F.hour("t") * 3600 + F.minute("t") * 60 + F.extract(F.lit("SECONDS"), "t")).alias("hora")
+    own = F.col("cenario_arquivo") if "cenario_arquivo" in grid.columns else F.lit(None).cast("string")
+    other = own.isNotNull() & (own != X.UNKNOWN_SCENARIO) & (own != F.col("cenario"))
+    steps = grid.filter(F.col("t").isNotNull()).groupBy(
+        "cenario", "variavel", "arquivo", time, F.bitmap_bucket_number(day).alias("bloco")
+    )
+    index = steps.agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("dias"),
+        F.min("t").alias("inicio"),
+        F.max("t").alias("fim"),
+        F.max(other).alias("outro"),
+    )
+    return detached(index, INDEX_ROWS)
+
+
+def _united(index: DataFrame, *more: str) -> DataFrame:
+    """Days of each scenario and variable: of all its files, and how many days the files have one by one."""
+    return index.groupBy("cenario", "variavel", "hora", "bloco").agg(
+        F.bitmap_or_agg("dias").alias("dias"), F.sum(F.bitmap_count("dias")).alias("soma"), *[F.max(c).alias(c) for c in more]
+    )
+
+
+def common_steps(index: DataFrame) -> DataFrame:
+    """``cenario, dias_comuns, outro``: time steps that all three variables share, by the bits they have in common."""
+    three = _united(index, "outro").groupBy("cenario", "hora", "bloco").agg(
+        F.bitmap_count(F.bitmap_and_agg(F.when(F.col("variavel").isin(*VARIABLES), F.col("dias")))).alias("juntos"),
+        F.count_if(F.col("variavel").isin(*VARIABLES)).alias("quantas"),
+        F.max("outro").alias("outro"),
+    )
+    shared = F.when(F.col("quantas") == len(VARIABLES), F.col("juntos")).otherwise(0)
+    return three.groupBy("cenario").agg(F.sum(shared).alias("dias_comuns"), F.max("outro").alias("outro"))
+
+
+def contested_series(index: DataFrame) -> DataFrame:
+    """Scenarios and variables of which two files have a time step: the files' days outnumber their union."""
+    return _united(index).filter(F.col("soma") > F.bitmap_count("dias")).select("cenario", "variavel").distinct()
+
+
+def keep_first_file(grid: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Where files of one variable overlap in time, keep each cell's row of the first file.
 
-    A small aggregate of two columns finds the time steps that more than one file
-    has. Without any, the grid is returned as it is; else only the rows of those
-    steps are shuffled, and the rank filter cuts copies before the shuffle.
+    The bitmaps of ``step_index`` tell which series have an overlap. Without
+    any, the grid is returned as it is; else a small aggregate of these series
+    finds the time steps, and only the rows of those are shuffled; the rank filter
+    cuts copies before the shuffle.
     """
+    series = contested_series(step_index(grid) if index is None else index).head(MAX_SERIES + 1)
+    if not series:
+        return grid
+    own = F.lit(len(series) > MAX_SERIES)
+    for one in series[:MAX_SERIES]:
+        own = own | (F.col("cenario").eqNullSafe(one["cenario"]) & F.col("variavel").eqNullSafe(one["variavel"]))
     step = ["cenario", "variavel", "t"]
-    files = grid.groupBy(*step).agg(F.min("arquivo").alias("_a"), F.max("arquivo").alias("_b"))
+    files = grid.filter(own).groupBy(*step).agg(F.min("arquivo").alias("_a"), F.max("arquivo").alias("_b"))
     contested = broadcast_if_small(files.filter(F.col("_a") != F.col("_b")).select(*step))
-    if contested.isEmpty():
-        return grid
     copies = Window.partitionBy("cenario", "variavel", "iy", "ix", "t").orderBy("arquivo")
     firsts = (
         grid.join(contested, step, "left_semi")
@@ -226,6 +284,8 @@ def divergence_totals(cell_map: DataFrame) -> DataFrame:
 
 def time_span(grid: DataFrame) -> DataFrame:
     """First and last day and number of time steps of each variable."""
-    return grid.groupBy("variavel").agg(
-        F.min("t").alias("inicio"), F.max("t").alias("fim"), F.countDistinct("t").alias("n")
+    index = step_index(grid)
+    steps = index.groupBy("variavel", "hora", "bloco").agg(
+        F.bitmap_count(F.bitmap_or_agg("dias")).alias("n"), F.min("inicio").alias("inicio"), F.max("fim").alias("fim")
     )
+    return steps.groupBy("variavel").agg(F.min("inicio").alias("inicio"), F.max("fim").alias("fim"), F.sum("n").alias("n"))

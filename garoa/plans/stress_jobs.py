@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garoa.errors import GridReadError
-from garoa.functions import text as X
 from garoa.operators import stress
 from garoa.operators.sizing import release
 from garoa.params import StressParams
@@ -14,6 +13,9 @@ from garoa.schemas import WATER_STRESS
 from garoa.sinks import tables
 from garoa.sources.grid import read_three_folders
 
+#: Scenarios of one batch, whose names become a filter of the scan.
+MAX_SCENARIOS = 1_000
+
 
 def stress_rows(indices: DataFrame, execucao_id: Column) -> DataFrame:
     """Shape yearly indices as the stored water-stress table."""
@@ -29,19 +31,26 @@ def stress_rows(indices: DataFrame, execucao_id: Column) -> DataFrame:
     )
 
 
+def dated(grid: DataFrame) -> DataFrame:
+    """The grid with time steps of the common calendar; days that do not exist in it go."""
+    if "cal_year" in grid.columns:
+        own = grid.filter(F.col("cal_year").isNotNull())
+        grid = stress.normalize_calendar(own).unionByName(grid.filter(F.col("cal_year").isNull()))
+    return grid.filter(F.col("t").isNotNull())
+
+
 def water_stress_days(
-    grid: DataFrame, cell_map: DataFrame, on: tuple[str, ...] = ("variavel", "iy", "ix")
+    grid: DataFrame,
+    cell_map: DataFrame,
+    on: tuple[str, ...] = ("variavel", "iy", "ix"),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Calendar, units, overlap rule, spatial means and alignment of a three-variable grid.
 
-    Days that do not exist in the common calendar go.
+    ``index`` is the grid's step index, if it is known.
     """
-    three = grid.filter(F.col("variavel").isin(*stress.VARIABLES))
-    if "cal_year" in three.columns:
-        own = three.filter(F.col("cal_year").isNotNull())
-        three = stress.normalize_calendar(own).unionByName(three.filter(F.col("cal_year").isNull()))
-    three = three.filter(F.col("t").isNotNull())
-    return stress.municipality_days(stress.keep_first_file(stress.canonical_units(three)), cell_map, on)
+    three = dated(grid.filter(F.col("variavel").isin(*stress.VARIABLES)))
+    return stress.municipality_days(stress.keep_first_file(stress.canonical_units(three), index), cell_map, on)
 
 
 def water_stress_run(
@@ -55,26 +64,19 @@ def water_stress_run(
 
     Raises when the three share no time step; that reads the time columns alone.
     """
-    checks = scenario_checks(grid.withColumn("cenario_arquivo", F.lit(None).cast("string")))
-    stress.require_rows(checks.filter("dias_comuns > 0"), "the three variables share no time step")
-    return stress_rows(stress.water_stress(water_stress_days(grid, cell_map, on), params), execucao_id)
+    index = stress.step_index(dated(grid))
+    stress.require_rows(stress.common_steps(index).filter("dias_comuns > 0"), "the three variables share no time step")
+    return stress_rows(stress.water_stress(water_stress_days(grid, cell_map, on, index), params), execucao_id)
 
 
-def scenario_checks(grid: DataFrame) -> DataFrame:
+def scenario_checks(grid: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """One row per scenario: ``ok`` and the reason when its input cannot be used.
 
     A file whose own scenario (``cenario_arquivo``) is known and differs, or a
     scenario whose three variables share no time step, fails that scenario only.
     """
-    own = F.col("cenario_arquivo")
-    wrong = own.isNotNull() & (own != X.UNKNOWN_SCENARIO) & (own != F.col("cenario"))
-    flags = [F.max(F.col("variavel") == v).alias(f"_{v}") for v in stress.VARIABLES]
-    steps = grid.filter(F.col("t").isNotNull()).groupBy("cenario", "t").agg(F.max(wrong).alias("_wrong"), *flags)
-    shared = F.col("_pr") & F.col("_tas") & F.col("_evspsbl")
-    verdict = steps.groupBy("cenario").agg(
-        F.max("_wrong").alias("_wrong"), F.count_if(shared).alias("dias_comuns")
-    )
-    reason = F.when(F.col("_wrong"), F.lit("cenario_inconsistente")).when(
+    verdict = stress.common_steps(stress.step_index(dated(grid)) if index is None else index)
+    reason = F.when(F.col("outro"), F.lit("cenario_inconsistente")).when(
         F.col("dias_comuns") == 0, F.lit("intersecao_temporal_vazia")
     )
     return verdict.select("cenario", "dias_comuns", reason.alias("motivo"), reason.isNull().alias("ok"))
@@ -86,11 +88,19 @@ def water_stress_batch(
     params: StressParams,
     on: tuple[str, ...] = ("variavel", "iy", "ix"),
 ) -> tuple[DataFrame, DataFrame]:
-    """All scenarios of ``grid`` in one plan: (results, one check row per scenario)."""
-    checks = scenario_checks(grid)
-    good = checks.filter("ok").select("cenario")
-    days = water_stress_days(grid, cell_map, on).join(good, "cenario", "left_semi")
-    return stress.water_stress(days, params), checks
+    """All scenarios of ``grid`` in one plan: (results, one check row per scenario).
+
+    One narrow pass indexes the time steps; it checks the scenarios and finds
+    overlapping files. Rows of failed scenarios go where the grid is read.
+    """
+    index = stress.step_index(dated(grid))
+    checks = scenario_checks(grid, index)
+    good = [r.cenario for r in checks.filter("ok").select("cenario").head(MAX_SCENARIOS + 1)]
+    if len(good) > MAX_SCENARIOS:
+        raise ValueError(f"a batch has more than {MAX_SCENARIOS} scenarios")
+    named = index.filter(F.col("cenario").isin(good)) if good else index.limit(0)
+    kept = grid.filter(F.col("cenario").isin(good)) if good else grid.filter(F.lit(False))
+    return stress.water_stress(water_stress_days(kept, cell_map, on, named), params), checks
 
 
 def water_stress_from_folders(

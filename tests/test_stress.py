@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -188,3 +190,38 @@ def test_the_hour_is_kept_and_no_common_time_is_an_error(spark):
     stamps = {v: [(2001, 1, 1, 12 if v == "evspsbl" else 0)] for v in S.VARIABLES}
     with pytest.raises(GridReadError, match="no time step"):
         stress_jobs.water_stress_run(grid_of(spark, stamps), map_of(spark), StressParams(), F.lit("e"))
+
+
+def _timed(spark, rows):
+    """A grid of one cell from ``(cenario, variavel, arquivo, t[, cenario_arquivo])``."""
+    full = [(c, v, a, datetime.fromisoformat(t), 0, 0, 1.0, own) for c, v, a, t, own in ((*r, None)[:5] for r in rows)]
+    return spark.createDataFrame(full, "cenario string, variavel string, arquivo string, t timestamp_ntz, iy int, ix int, valor double, cenario_arquivo string")
+
+
+def test_day_bitmaps_tell_overlaps_common_steps_and_spans(spark):
+    days = [f"{y}-{m:02d}-{d:02d}T{h}" for y in (1850, 1969, 1970, 2059, 2061) for m, d in ((1, 1), (2, 28), (12, 31)) for h in ("00:00:00", "12:00:00.25")]
+    rows = [("a", v, f"{v}1.nc", t) for v in ("pr", "tas", "evspsbl") for t in days]
+    rows += [("a", "pr", "pr2.nc", days[3]), ("b", "pr", "p.nc", days[0]), ("b", "tas", "t.nc", days[1]), ("b", "evspsbl", "e.nc", days[0])]
+    rows += [("c", v, f"{v}.nc", t, "z" if v == "tas" else None) for v in ("pr", "tas", "evspsbl") for t in days[:4]]
+    grid = _timed(spark, rows).repartition(4)
+    index = S.step_index(grid)
+    common = {r.cenario: (r.dias_comuns, r.outro) for r in S.common_steps(index).collect()}
+    assert common == {"a": (len(days), False), "b": (0, False), "c": (4, True)}
+    assert [tuple(r) for r in S.contested_series(index).collect()] == [("a", "pr")]
+    spans = {r.variavel: (str(r.inicio), str(r.fim), r.n) for r in S.time_span(grid).collect()}
+    assert spans["pr"] == ("1850-01-01 00:00:00", "2061-12-31 12:00:00.250000", len(days))
+    kept = S.keep_first_file(grid.filter("cenario = 'a' and variavel = 'pr'")).collect()
+    assert len(kept) == len(days) and {r.arquivo for r in kept} == {"pr1.nc"}
+
+
+def test_failed_scenarios_go_before_the_shuffle(spark):
+    days = [f"2000-01-{d:02d}T00:00:00" for d in range(1, 20)]
+    rows = [("good", v, f"{v}.nc", t) for v in ("pr", "tas", "evspsbl") for t in days]
+    rows += [("bad", v, f"{v}.nc", t, "other") for v in ("pr", "tas", "evspsbl") for t in days]
+    grid = _timed(spark, rows).withColumns({"units": F.lit("mm/day"), "ano": F.lit(2000)})
+    cells = spark.createDataFrame([(v, 0, 0, 7) for v in ("pr", "tas", "evspsbl")], "variavel string, iy int, ix int, municipio_id long")
+    out, checks = stress_jobs.water_stress_batch(grid, cells, StressParams())
+    assert {(r.cenario, r.motivo) for r in checks.collect()} == {("good", None), ("bad", "cenario_inconsistente")}
+    assert [r.cenario for r in out.collect()] == ["good"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "LeftSemi" not in plan
