@@ -324,7 +324,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages(page_id, url, html, ...)``.
 
-    Character references are decoded, white space inside a block becomes one
+    The text is that of the article without side parts: menus, headers, footers,
+    sidebars, notices, adverts, forms, scripts, styles and reader comments, unless
+    such a part holds the article itself. Character references are decoded, white space inside a block becomes one
     space, blocks are trimmed and joined by an empty line; nothing is cut. A null
     or textless page has empty text. Repeated rows are extracted each; other
     columns are ignored; an empty table gives an empty result.
