@@ -165,41 +165,70 @@ def matches(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, in
 
 
 def _short(index: Index, words: Words, values: np.ndarray, hit: np.ndarray, k: int, found) -> None:
-    """Items shorter than a shingle: their whole sequence is the one shingle."""
+    """Items shorter than a shingle: their whole sequence is the one shingle, so its first place in a row is the best."""
     at = np.flatnonzero(hit)
-    if len(at):
-        rows = words.rows()[at]
-        for w, item, distance in zip(*_candidates(index, k, _pack(_signs(values[at]))), strict=True):
-            if index.shingles[item][0][0] == values[at[w]]:
-                found(int(rows[w]), int(item), int(at[w] - words.first[rows[w]]), k, int(distance), 1.0)
+    rows = np.searchsorted(words.first, at, "right") - 1
+    order = np.lexsort((at, values[at], rows))
+    at, rows = at[order], rows[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (values[at[1:]] != values[at[:-1]])
+    at, rows = at[new], rows[new]
+    for begin in range(0, len(at), _CHUNK_WORDS):
+        part, of = at[begin : begin + _CHUNK_WORDS], rows[begin : begin + _CHUNK_WORDS]
+        for w, item, distance in zip(*_candidates(index, k, _pack(_signs(values[part]))), strict=True):
+            if index.shingles[item][0][0] == values[part[w]]:
+                found(int(of[w]), int(item), int(part[w] - words.first[of[w]]), k, int(distance), 1.0)
 
 
 def _long(index: Index, words: Words, values, whole, hit, found) -> None:
+    """Rows with enough hits, packed or cut into blocks of about equal words.
+
+    A block of a longer row reaches past its own words as far as the longest
+    item does, so that every window lies whole in the block of its first word.
+    """
     sizes = np.unique(index.length[index.length >= SHINGLE])
     least = math.ceil(LIKENESS * (sizes[0] - SHINGLE + 1))
     per_row = np.add.reduceat(np.append(hit, False), words.first[:-1]) * (words.per_row > 0)
     rows = np.flatnonzero(per_row >= least)
+    pieces = -(-words.per_row[rows] // _CHUNK_WORDS)
+    row = np.repeat(rows, pieces)
+    skip = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _CHUNK_WORDS
+    left = words.per_row[row] - skip
+    own, span = np.minimum(left, _CHUNK_WORDS), np.minimum(left, _CHUNK_WORDS + sizes[-1] - 1)
     begin = 0
-    while begin < len(rows):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(words.per_row[rows[begin:]]), _CHUNK_WORDS)))
-        part = rows[begin:end]
-        take = np.concatenate([np.arange(words.first[r], words.first[r + 1]) for r in part])
-        _windows(index, part, words.per_row[part], values[take], whole[take], hit[take], sizes, found)
+    while begin < len(row):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(span[begin : begin + _CHUNK_WORDS]), _CHUNK_WORDS)))
+        part = slice(begin, end)
+        low = words.first[row[part]] + skip[part]
+        take = np.concatenate([np.arange(a, b) for a, b in zip(low, low + span[part], strict=True)])
+        block = Block(row[part], words.per_row[row[part]], skip[part], own[part], span[part])
+        _windows(index, block, values[take], whole[take], hit[take], sizes, found)
         begin = end
 
 
-def _windows(index: Index, rows, counts, values, whole, hit, sizes, found) -> None:
-    """All windows of some rows that can be like an item."""
+@dataclass
+class Block:
+    """Pieces of rows: words of the whole row and before the piece, words whose windows it decides, words it holds."""
+
+    row: np.ndarray
+    count: np.ndarray
+    skip: np.ndarray
+    own: np.ndarray
+    span: np.ndarray
+
+
+def _windows(index: Index, block: Block, values, whole, hit, sizes, found) -> None:
+    """All windows of a block that can be like an item."""
     n = len(values)
     lanes = np.zeros((n + 1, 64), np.int32)
     np.cumsum(_signs(values) * whole[:, None], axis=0, out=lanes[1:])
     hits = np.append(0, np.cumsum(hit))
-    first = np.append(0, np.cumsum(counts))
-    row = np.repeat(np.arange(len(rows)), counts)
-    place = np.arange(n) - first[row]
+    piece = np.repeat(np.arange(len(block.row)), block.span)
+    inside = np.arange(n) - np.repeat(np.cumsum(block.span) - block.span, block.span)
+    place, count, mine = inside + block.skip[piece], block.count[piece], inside < block.own[piece]
     for size in sizes.tolist():
         width = size - SHINGLE + 1
-        last = np.where(place + size <= counts[row], width, np.where(place == 0, counts[row] - SHINGLE + 1, 0))
+        last = np.where(place + size <= count, width, np.where(place == 0, count - SHINGLE + 1, 0)) * mine
         stop = np.arange(n) + np.maximum(last, 0)
         at = np.flatnonzero((last > 0) & (hits[stop] - hits[:-1] >= LIKENESS * width))
         if not len(at):
@@ -207,7 +236,8 @@ def _windows(index: Index, rows, counts, values, whole, hit, sizes, found) -> No
         window, item, distance = _candidates(index, size, _pack(lanes[stop[at]] - lanes[at]))
         for w, i, d in zip(at[window].tolist(), item.tolist(), distance.tolist(), strict=True):
             own = np.unique(values[w : stop[w]], return_counts=True)
-            found(int(rows[row[w]]), i, int(place[w]), int(stop[w] - w + SHINGLE - 1), d, _weighted(own, index.shingles[i]))
+            likeness = _weighted(own, index.shingles[i])
+            found(int(block.row[piece[w]]), i, int(place[w]), int(stop[w] - w + SHINGLE - 1), d, likeness)
 
 
 def _passes(benchmark: DataFrame) -> Iterator[Index]:
@@ -226,7 +256,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. The window of most
     likeness is named, of equal ones the first. A document shorter than an item is
     one window for it. An item with fewer than five words has its whole sequence
-    as its one shingle. Null or wordless texts and items match nothing; repeated
+    as its one shingle. Fingerprints of a very long text are summed in blocks of
+    ``_CHUNK_WORDS`` words, which overlap by the longest item. Null or wordless texts and items match nothing; repeated
     rows are found each; other columns are ignored; empty tables give an empty
     result.
     """

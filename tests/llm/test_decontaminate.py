@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm.helpers import docs, odd_texts, prose
 
 from garoa.llm import decontaminate
@@ -81,6 +84,29 @@ def test_passes_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.leaks(docs(spark, rows), bench).collect())) == whole
 
 
+@pytest.mark.parametrize("words", [1, 7, 23])
+def test_blocks_of_long_rows_find_the_same(monkeypatch, words):
+    rows, items = case()
+    index, column = decontaminate.build_index(items), pa.array([t for _, t in rows], pa.string())
+    whole = decontaminate.matches(index, column)
+    assert len(whole) > 20
+    monkeypatch.setattr(decontaminate, "_CHUNK_WORDS", words)
+    assert decontaminate.matches(index, column) == whole
+
+
+def test_memory_of_a_very_long_text():
+    item = " ".join(prose(1, 20))
+    index = decontaminate.build_index([(1, item), (2, "tiny word")])
+    common = prose(1, 20)[:9]
+    text = " ".join([*(prose(2, 100) * 4_000), *(common * 10_000), "tiny word " * 100_000, item, *prose(3, 50)])
+    tracemalloc.start()
+    found = decontaminate.matches(index, pa.array([text], pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(m[1], m[2], m[5]) for m in found] == [(0, 690_000, 1.0), (1, 490_000, 1.0)]
+    assert peak < 33 * len(text)
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     draw = np.random.default_rng(0)
     prints = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
