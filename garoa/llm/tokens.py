@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -15,8 +16,11 @@ from garoa.llm.shared import row_udf
 
 BATCH_BYTES = 8 << 20
 ENCODE_BYTES = 1 << 20
-#: Pieces whose lengths a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+#: Bytes of the pieces whose lengths a worker remembers; beyond it the memory starts afresh.
+REMEMBERED_BYTES = 32 << 20
+#: Longer pieces rarely come again and are not remembered.
+REMEMBERED_CHARS = 64
+_ENTRY_BYTES = 150
 
 #: Pieces that end before a single space between two non-space characters. A byte-level
 #: pre-tokenizer always begins a word at such a space, so no token crosses it, and special strings
@@ -35,32 +39,48 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+class Remembered(dict[str, int]):
+    """Lengths of short pieces, bounded by their bytes and those of their entries."""
+
+    held = 0
+
+    def add(self, pieces: list[str], lengths: list[int]) -> None:
+        if self.held > REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+        short = {p: n for p, n in zip(pieces, lengths, strict=True) if len(p) <= REMEMBERED_CHARS}
+        self.held += sum(map(len, map(str.encode, short))) + _ENTRY_BYTES * len(short)
+        self.update(short)
+
+
 @cache
-def _lengths(path: str) -> dict[str, int]:
-    return {}
+def _remembered(path: str) -> Remembered:
+    return Remembered()
 
 
-def _encode(path: str, pieces: list[str], lengths: dict[str, int]) -> None:
-    """Lengths of new pieces, in batches of about equal bytes."""
-    tokenizer, begin, size = _tokenizer(path), 0, 0
+def _encode(path: str, pieces: list[str]) -> list[int]:
+    """Lengths of pieces, encoded in batches of about equal bytes."""
+    tokenizer, begin, size, out = _tokenizer(path), 0, 0, []
     for end, piece in enumerate(pieces, 1):
-        size += len(piece)
+        size += len(piece.encode())
         if size >= ENCODE_BYTES or end == len(pieces):
-            batch = pieces[begin:end]
-            found = tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-            lengths.update(zip(batch, map(len, found), strict=True))
+            found = tokenizer.encode_batch_fast(pieces[begin:end], add_special_tokens=False)
+            out.extend(map(len, found))
             begin, size = end, 0
+    return out
 
 
 def count_tokens(path: str, texts: list[str | None]) -> list[int]:
-    """Tokens of each text; null is empty. Equal pieces are encoded once."""
-    lengths = _lengths(path)
-    if len(lengths) > REMEMBERED:
-        lengths.clear()
-    split = [PIECE.findall(text or "") for text in texts]
-    new = set().union(*split).difference(lengths)
-    _encode(path, list(new), lengths)
-    return [sum(map(lengths.__getitem__, pieces)) for pieces in split]
+    """Tokens of each text; null is empty. Equal pieces of the texts are encoded once, short ones once a worker."""
+    memory = _remembered(path)
+    split = [Counter(PIECE.findall(text or "")) for text in texts]
+    distinct = set().union(*split)
+    known = {piece: memory[piece] for piece in distinct if piece in memory}
+    new = list(distinct.difference(known))
+    lengths = _encode(path, new)
+    known.update(zip(new, lengths, strict=True))
+    memory.add(new, lengths)
+    return [sum(n * known[piece] for piece, n in pieces.items()) for pieces in split]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:

@@ -51,6 +51,18 @@ def test_pieces_give_the_tokens_of_the_whole(text):
 
 
 def test_memory_starts_afresh(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 2)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 2)
     assert tokens.count_tokens(PATH, ["a b c d", "e f"]) == [plain("a b c d"), plain("e f")]
     assert tokens.count_tokens(PATH, ["g h a"]) == [plain("g h a")]
+    assert set(tokens._remembered(PATH)) == {"g", " h", " a"}
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    tokens._remembered.cache_clear()
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+    for i in range(100):
+        texts = [chr(0x4E00 + i) * 5_000, " ".join(f"{i}x{j}" for j in range(50))]
+        assert tokens.count_tokens(PATH, texts)[1] == plain(texts[1])
+    memory = tokens._remembered(PATH)
+    assert max(map(len, memory)) <= tokens.REMEMBERED_CHARS
+    assert memory.held <= 20_000 + 50 * 170 and len(memory) < 250
