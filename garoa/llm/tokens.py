@@ -17,7 +17,7 @@ from garoa.llm.shared import row_udf
 BATCH_BYTES = 8 << 20
 ENCODE_BYTES = 1 << 20
 #: Bytes of the pieces whose lengths a worker remembers; beyond it the memory starts afresh.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 96 << 20
 #: Longer pieces rarely come again and are not remembered.
 REMEMBERED_CHARS = 64
 _ENTRY_BYTES = 150
