@@ -9,8 +9,10 @@ from garoa.errors import ValidationError
 from garoa.functions import numeric as N
 from garoa.operators.sizing import broadcast_if_small, keep, spread
 
+#: Cells a side of the smallest tiles, tiles a side of the next larger ones.
 LEAF_CELLS = 8
-BRANCH_CELLS = 64
+FAN = 8
+#: A level of tiles is broadcast up to so many arrays of at most 64 entries.
 BROADCAST_LEAVES = 16_000
 SNAP_SLACK_DEG = 1e-3
 TILE_DEG = 1.0
@@ -54,8 +56,8 @@ def grid_fingerprint(cells: DataFrame) -> DataFrame:
 # --- nearest cell -----------------------------------------------------------
 
 
-def _tile(step: int) -> list[Column]:
-    return [F.floor(F.col("iy") / step).alias("ty"), F.floor(F.col("ix") / step).alias("tx")]
+def _tile(y: str, x: str, step: int) -> list[Column]:
+    return [F.floor(F.col(y) / step).alias("ty"), F.floor(F.col(x) / step).alias("tx")]
 
 
 def _extent(lat_lo: str, lat_hi: str, lon_lo: str, lon_hi: str) -> list[Column]:
@@ -79,6 +81,9 @@ def _greatest_distance(tile: Column, y: Column, x: Column) -> Column:
     return F.sqrt(dy * dy + dx * dx)
 
 
+_TARGET = ["lat", "lon", "py", "px", "bound"]
+
+
 def _branch(targets: DataFrame, tiles: str) -> DataFrame:
     """Keep the tiles that may hold the nearest cell and tighten the bound."""
     y, x = F.col("py").cast("double"), F.col("px").cast("double")
@@ -88,45 +93,71 @@ def _branch(targets: DataFrame, tiles: str) -> DataFrame:
     near = F.filter(
         F.col(tiles), lambda t: _least_distance(t, y, x) <= F.col("bound") + F.lit(SNAP_SLACK_DEG)
     )
-    keys = ["lat", "lon", "py", "px", "bound"]
     return (
         targets.withColumn("bound", bound)
-        .select(*keys, F.explode(near).alias("t"))
-        .select(*keys, F.col("t.ty").alias("ty"), F.col("t.tx").alias("tx"))
+        .select(*_TARGET, F.explode(near).alias("t"))
+        .select(*_TARGET, F.col("t.ty").alias("ty"), F.col("t.tx").alias("tx"), _least_distance(F.col("t"), y, x).alias("least"))
     )
 
 
+def _shared_bound(targets: DataFrame) -> DataFrame:
+    """Let each point's best bound rule its tiles in all branches.
+
+    A window holds the tiles of one point that its branches left, some dozens.
+    """
+    bound = F.min("bound").over(Window.partitionBy("lat", "lon"))
+    return targets.withColumn("bound", bound).filter(F.col("least") <= F.col("bound") + F.lit(SNAP_SLACK_DEG))
+
+
+def _levels(leaves: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+    """Levels of larger tiles with their children, largest first, each with a bound of its rows, and the topmost tiles.
+
+    A level has one row per tile and at most ``FAN`` * ``FAN`` children in it;
+    levels are added until no more tiles than that are left.
+    """
+    low_y, high_y, low_x, high_x = leaves.agg(F.min("ty"), F.max("ty"), F.min("tx"), F.max("tx")).first()
+    levels, tiles, side = [], leaves.drop("cells"), 1
+
+    def count() -> int:
+        if low_y is None:
+            return 0
+        return (high_y // side - low_y // side + 1) * (high_x // side - low_x // side + 1)
+
+    while count() > FAN * FAN:
+        side *= FAN
+        level = tiles.groupBy(*_tile("ty", "tx", FAN)).agg(
+            F.collect_list(F.struct("ty", "tx", "y0", "y1", "x0", "x1")).alias("children"),
+            *_extent("y0", "y1", "x0", "x1"),
+        )
+        levels.insert(0, (level.select("ty", "tx", "children"), count()))
+        tiles = level.drop("children")
+    return levels, tiles
+
+
 def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Nearest cell of every point; ties go to the smallest ``(iy, ix)``.
 
     Squared degrees on longitudes in [-180, 180), in the number type of the
-    grid, at any distance. Cells are grouped into tiles of 8x8 and those into
-    tiles of 64x64 cells. A tile is dropped when its nearest corner is farther
-    than another tile's farthest one, so a point meets a few hundred cells
-    instead of the grid. Every array is bounded by the tile size.
+    grid, at any distance. Cells are grouped into tiles of 8x8, those into tiles
+    of 8x8 tiles and so on, until at most 64 are left; points then descend level
+    by level, one equi-join each. A tile is dropped when its nearest corner is
+    farther than another tile's farthest one, so at each level a point keeps
+    some dozens of tiles instead of the grid. Every array has at most 64 entries, at
+    any size of the grid. Points without a coordinate, and all points of a grid
+    without cells, get null cells.
     """
     kind = N.column_type(cells, "lat")
     flat = cells.select(
         "iy", "ix", "lat", "lon", N.normalize_lon(F.col("lon"), kind).alias("lon_n")
     )
     leaves = keep(
-        flat.groupBy(*_tile(LEAF_CELLS)).agg(
+        flat.groupBy(*_tile("iy", "ix", LEAF_CELLS)).agg(
             F.collect_list(F.struct("iy", "ix", "lat", "lon", "lon_n")).alias("cells"),
             *_extent("lat", "lat", "lon_n", "lon_n"),
         )
     )
-    step = BRANCH_CELLS // LEAF_CELLS
-    branches = leaves.groupBy(
-        F.floor(F.col("ty") / step).alias("by"), F.floor(F.col("tx") / step).alias("bx")
-    ).agg(
-        F.collect_list(F.struct("ty", "tx", "y0", "y1", "x0", "x1")).alias("leaves"),
-        *_extent("y0", "y1", "x0", "x1"),
-    )
-    top = branches.agg(
-        F.collect_list(
-            F.struct(F.col("by").alias("ty"), F.col("bx").alias("tx"), "y0", "y1", "x0", "x1")
-        )
-    ).scalar()
+    levels, topmost = _levels(leaves)
+    top = topmost.agg(F.collect_list(F.struct("ty", "tx", "y0", "y1", "x0", "x1"))).scalar()
 
     targets = spread(points.select("lat", "lon").distinct()).select(
         "lat",
@@ -134,14 +165,17 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
         F.col("lat").cast(kind).alias("py"),
         N.normalize_lon(F.col("lon").cast("double")).cast(kind).alias("px"),
         F.lit(float("inf")).alias("bound"),
-        top.alias("tops"),
+        top.alias("children"),
     )
-    in_branch = _branch(targets, "tops").withColumnsRenamed({"ty": "by", "tx": "bx"})
-    small = leaves.count() <= BROADCAST_LEAVES
-    inner, outer = branches.select("by", "bx", "leaves"), leaves.select("ty", "tx", "cells")
-    if small:
-        inner, outer = F.broadcast(inner), F.broadcast(outer)
-    in_leaf = _branch(in_branch.join(inner, ["by", "bx"]), "leaves")
+    near = _branch(targets, "children")
+    for depth, (level, size) in enumerate(levels):
+        inner = F.broadcast(level) if size <= BROADCAST_LEAVES else level
+        near = _branch((_shared_bound(near) if depth else near).join(inner, ["ty", "tx"]), "children")
+    if len(levels) > 1:
+        near = _shared_bound(near)
+    outer = leaves.select("ty", "tx", "cells")
+    if leaves.count() <= BROADCAST_LEAVES:
+        outer = F.broadcast(outer)
 
     def candidate(c: Column) -> Column:
         dy, dx = c.lat - F.col("py"), c.lon_n - F.col("px")
@@ -154,7 +188,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame) -> DataFrame:
         )
 
     best = (
-        in_leaf.join(outer, ["ty", "tx"])
+        near.join(outer, ["ty", "tx"])
         .select("lat", "lon", F.array_min(F.transform("cells", candidate)).alias("c"))
         .groupBy("lat", "lon")
         .agg(F.min("c").alias("c"))

@@ -203,6 +203,31 @@ def test_snap_on_a_rotated_grid(spark):
         assert (r["iy"], r["ix"]) == want[1:]
 
 
+@pytest.mark.parametrize("broadcast", [0, 16_000])
+def test_snap_through_four_levels(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(spatial, "LEAF_CELLS", 2)
+    monkeypatch.setattr(spatial, "FAN", 2)
+    monkeypatch.setattr(spatial, "BROADCAST_LEAVES", broadcast)
+    rng = np.random.default_rng(7)
+    cells = [(iy, ix, 0.1 * iy - 2 + 0.02 * math.sin(ix), 358 + 0.1 * ix) for iy in range(50) for ix in range(37) if (iy * ix) % 11]
+    asked = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-4, 5, 120), rng.uniform(-4, 4, 120), strict=True))]
+    asked += [(200, -2.0, -2.0), (201, None, 1.0), (202, 1.0, None), (203, -2.0, -2.0)]
+    asked_df = spark.createDataFrame(asked, "ponto_id int, lat double, lon double")
+    cells_df = spark.createDataFrame(cells, "iy int, ix int, lat double, lon double")
+    levels, top = spatial._levels(
+        cells_df.groupBy(*spatial._tile("iy", "ix", 2)).agg(F.lit(0).alias("cells"), *spatial._extent("lat", "lat", "lon", "lon"))
+    )
+    assert len(levels) == 4 and top.count() <= 4
+    assert all(level.agg(F.max(F.size("children"))).first()[0] <= 4 and level.count() <= size for level, size in levels)
+    got = {r["ponto_id"]: (r["iy"], r["ix"]) for r in spatial.snap_to_grid(asked_df, cells_df).collect()}
+    assert len(got) == len(asked) and got[201] == got[202] == (None, None)
+    for i, lat, lon in asked:
+        if None not in (lat, lon):
+            want = min(((la - lat) ** 2 + (((lo + 180) % 360 - 180) - lon) ** 2, iy, ix) for iy, ix, la, lo in cells)
+            assert got[i] == want[1:], (i, lat, lon)
+    assert spatial.snap_to_grid(asked_df, cells_df.limit(0)).filter("iy IS NULL").count() == len(asked)
+
+
 def test_year_range_is_checked():
     with pytest.raises(ValidationError):
         YearRange(2001, 2000)
