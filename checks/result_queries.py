@@ -15,6 +15,7 @@ from garoa.operators import spatial
 from garoa.operators.sizing import keep
 from garoa.params import Aggregation, Page, ResultFilter, StressFilter
 from garoa.plans import result_queries as Q
+from garoa.sinks import published as V
 from garoa.sinks import tables as T
 
 _ROW = "id, execucao_id, lat, lon, ano, nome_indice, round(valor, 6) AS valor, unidade, municipio_id"
@@ -232,6 +233,18 @@ def replace_runs(spark, sf):
     return spark.read.parquet(path).groupBy("execucao_id").agg(F.count(F.lit(1)).alias("linhas"))
 
 
+@query(
+    f"SELECT {_ROW} FROM results WHERE execucao_id <> 'exec_R' AND (execucao_id <> 'exec_A' OR ano >= 1996 OR ano < 1994)", "results"
+)
+def published_runs(spark, sf):
+    path, out = scratch(spark, "published"), results(spark, sf)
+    V.publish_runs(out, path)
+    V.publish_runs(out.filter("execucao_id = 'exec_A' AND ano >= 1996"), path, runs=("exec_R",))
+    V.publish_runs(out.filter("execucao_id = 'exec_A' AND ano < 1994"), path, replace=False)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    return rows(V.read_runs(spark, path, kinds))
+
+
 _EXPORT = f"""SELECT id, execucao_id, CAST(municipio_id AS VARCHAR) AS municipio_id, nome_municipio, uf, CAST(ano AS VARCHAR) AS ano, cenario,
     CAST(frequencia_dias_secos_quentes AS VARCHAR) AS frequencia_dias_secos_quentes, intensidade_mm_dia FROM ({_NAMED}) WHERE ano >= 1996"""
 

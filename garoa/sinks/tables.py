@@ -28,20 +28,21 @@ EXPORT_COLUMNS = (
 _PLAIN_ID = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
-def _clustered(df: DataFrame) -> DataFrame:
+def clustered(df: DataFrame) -> DataFrame:
+    """Rows of a run together, sorted for row-group pruning."""
     keys = [c for c in ("ano", "nome_indice", "municipio_id") if c in df.columns]
     return df.sortWithinPartitions("execucao_id", *keys)
 
 
 def write_results(df: DataFrame, path: str) -> None:
     """Append result rows, one folder per run, sorted for row-group pruning."""
-    _clustered(df).write.mode("append").partitionBy("execucao_id").parquet(path)
+    clustered(df).write.mode("append").partitionBy("execucao_id").parquet(path)
 
 
 def replace_runs(df: DataFrame, path: str) -> None:
     """Replace the runs present in ``df`` and leave the others alone."""
     (
-        _clustered(df)
+        clustered(df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("execucao_id")
@@ -53,7 +54,7 @@ def replace_run(df: DataFrame, path: str, run_id: str) -> None:
     """Replace one run, also when it now has no rows at all."""
     if not _PLAIN_ID.fullmatch(run_id):
         raise ValidationError(f"run id {run_id!r} cannot name a folder")
-    own = _clustered(df.filter(F.col("execucao_id") == run_id)).drop("execucao_id")
+    own = clustered(df.filter(F.col("execucao_id") == run_id)).drop("execucao_id")
     own.write.mode("overwrite").parquet(f"{path}/execucao_id={run_id}")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from garoa import errors as E
 from garoa.operators import rain, spatial
 from garoa.params import Page
+from garoa.sinks import published as V
 from garoa.sinks import tables as T
 from garoa.sources import grid as G
 from garoa.sources import places as L
@@ -236,6 +237,56 @@ def test_rerun_replaces_only_its_run(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(execucao_id" in spark.read.parquet(path).filter("execucao_id = 'b'")._jdf.queryExecution().executedPlan().toString()
 
 
+_RUN = "execucao_id string, ano int, nome_indice string, valor double"
+
+
+def published(spark, path):
+    return {r["execucao_id"]: r["count"] for r in V.read_runs(spark, path, _RUN).groupBy("execucao_id").count().collect()}
+
+
+@pytest.mark.parametrize("pairs", [10_000, 0])
+def test_published_runs_change_whole(spark, tmp_path, monkeypatch, pairs):
+    monkeypatch.setattr(V, "LITERAL_PAIRS", pairs)
+    path = str(tmp_path / "p")
+    assert published(spark, path) == {} and V.stale_versions(spark, path).count() == 0
+    V.publish_runs(results(spark, "001", 5).unionByName(results(spark, "b", 3)), path)
+    before = V.read_runs(spark, path, _RUN)
+    V.publish_runs(results(spark, "001", 2), path, replace=False)
+    V.publish_runs(results(spark, "c", 1), path, replace=False)
+    assert published(spark, path) == {"001": 7, "b": 3, "c": 1} and V.stale_versions(spark, path).count() == 0
+    V.publish_runs(results(spark, "001", 4), path, runs=("c",))
+    assert published(spark, path) == {"001": 4, "b": 3}
+    V.publish_runs(results(spark, "b", 0), path, runs=("b",))
+    assert published(spark, path) == {"001": 4} and V.stale_versions(spark, path).count() == 3
+    if pairs:
+        assert before.count() == 8
+
+
+def test_failed_publication_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "p")
+    V.publish_runs(results(spark, "a", 5), path)
+    broken = results(spark, "a", 1000).repartition(4).withColumn(
+        "valor", F.when(F.col("valor") == 999, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("valor"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        V.publish_runs(broken, path)
+    with pytest.raises(E.ValidationError):
+        V.publish_runs(results(spark, None, 2), path)
+    assert published(spark, path) == {"a": 5}
+    V.publish_runs(results(spark, "a", 6), path)
+    assert published(spark, path) == {"a": 6}
+
+
+def test_readers_scan_live_folders_only(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for n in range(3):
+        V.publish_runs(results(spark, "a", n + 1), path)
+    read = V.read_runs(spark, path, _RUN)
+    assert "PartitionFilters: [" in read._jdf.queryExecution().executedPlan().toString()
+    folder = F.regexp_extract(F.input_file_name(), "version=([^/]+)", 1)
+    assert read.count() == 3 and read.select(folder).distinct().count() == 1
+
+
 def test_limits_and_keys(spark):
     df = results(spark, "a", 5)
     assert T.check_export_limit(df, 5) is df
