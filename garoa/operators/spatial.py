@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garoa.errors import ValidationError
 from garoa.functions import numeric as N
 from garoa.operators.sizing import broadcast_if_small, keep, spread
 
@@ -115,7 +114,7 @@ def _levels(leaves: DataFrame) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
     A level has one row per tile and at most ``FAN`` * ``FAN`` children in it;
     levels are added until no more tiles than that are left.
     """
-    low_y, high_y, low_x, high_x = leaves.agg(F.min("ty"), F.max("ty"), F.min("tx"), F.max("tx")).first()
+    [(low_y, high_y, low_x, high_x)] = leaves.agg(F.min("ty"), F.max("ty"), F.min("tx"), F.max("tx")).head(1)
     levels, tiles, side = [], leaves.drop("cells"), 1
 
     def count() -> int:
@@ -400,10 +399,3 @@ def representative_point(edges: DataFrame) -> DataFrame:
         F.col("s.y").alias("lat"),
         ((F.col("s.x_next") - F.col("s.nx")) / 2).alias("lon"),
     )
-
-
-def require_polygons(edges: DataFrame) -> DataFrame:
-    """Raise when a polygon table is empty."""
-    if edges.isEmpty():
-        raise ValidationError("the polygon table is empty")
-    return edges

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garoa.functions import text as X
 from garoa.operators import geocode as G
 from garoa.operators import municipalities as M
 from garoa.operators import spatial
@@ -91,8 +90,3 @@ def import_suppliers(batch: DataFrame, existing: DataFrame) -> tuple[DataFrame,
         fresh = fresh.withColumn(name, F.lit(None))
     rows = fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SUPPLIER_SITE])
     return rows, labelled
-
-
-def city_inputs(cities: DataFrame) -> DataFrame:
-    """A parsed city list as geocoding inputs."""
-    return cities.select("identificador", X.strip(F.col("cidade")).alias("cidade"), "uf")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from garoa.errors import ValidationError
 from garoa.sinks.tables import clustered
 
-#: Live pairs of run and version that a reader takes as literals; more of them are joined.
-LITERAL_PAIRS = 10_000
+#: Live pairs of run and version that a reader broadcasts, once counted; more of them are joined plainly.
+BROADCAST_PAIRS = 100_000
 _MANIFEST = "execucao_id string, version string, seq long, replaces boolean"
 
 
@@ -56,7 +56,7 @@ def publish_runs(df: DataFrame, path: str, replace: bool = True, runs: tuple[str
         raise ValidationError("a result row has no execucao_id")
     if runs:
         names = names.union(spark.createDataFrame([(r,) for r in runs], "execucao_id string")).distinct()
-    seq = _manifest(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+    [(seq,)] = _manifest(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).head(1)
     line = names.select("execucao_id", F.lit(version).alias("version"), F.lit(seq).cast("long").alias("seq"), F.lit(replace).alias("replaces"))
     line.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
@@ -64,9 +64,8 @@ def publish_runs(df: DataFrame, path: str, replace: bool = True, runs: tuple[str
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The published rows, in the columns of ``schema``; none where nothing is published.
 
-    Up to ``LITERAL_PAIRS`` live pairs are read first, so that only their
-    folders are scanned and the frame stays at that state; more are joined, with
-    the same rows.
+    Up to ``BROADCAST_PAIRS`` live pairs are broadcast, which prunes all folders
+    but theirs before the scan; more are joined plainly, with the same rows.
     """
     try:
         rows = spark.read.schema(f"{schema}, version string").parquet(f"{path}/data")
@@ -76,10 +75,8 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     columns = [c for c in rows.columns if c != "version"]
     live = live_versions(spark, path)
-    pairs = live.head(LITERAL_PAIRS + 1)
-    if len(pairs) <= LITERAL_PAIRS:
-        rows = rows.filter(F.col("version").isin(sorted({p.version for p in pairs})))
-        live = F.broadcast(spark.createDataFrame(pairs, live.schema))
+    [(pairs,)] = live.agg(F.count(F.lit(1))).head(1)
+    live = F.broadcast(live) if pairs <= BROADCAST_PAIRS else live
     return rows.join(live, ["execucao_id", "version"], "left_semi").select(*columns)
 
 
