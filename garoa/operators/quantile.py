@@ -66,7 +66,7 @@ def _with_bounds(rows: DataFrame, state: DataFrame, dims: list[str], margin: int
     if dims:
         joined = rows.join(_renamed(broadcast_if_small(bounds), dims), _same(dims))
     else:
-        one = bounds.head()
+        [one] = bounds.head(1)
         joined = rows.select("*", *[F.lit(one[c]).cast(bounds.schema[c].dataType).alias(c) for c in bounds.columns])
     number = F.col("v").cast("double")
     inside = F.col("l").isNull() | (number >= F.col("l"))
@@ -87,7 +87,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, dims: list[str]) -> DataFrame:
         F.count_if(~F.col("in")).alias("below"),
         F.count_if("in").alias("inside"),
         _ladder(F.when(F.col("in"), F.col("v"))).alias("ladder"),
-        *[F.first(c).alias(name) for c, name in (("l", "low"), ("h", "high"), ("lo", "lo"), ("hi", "hi"), ("rank", "rank"))],
+        *[F.max(c).alias(name) for c, name in (("l", "low"), ("h", "high"), ("lo", "lo"), ("hi", "hi"), ("rank", "rank"))],
     )
     good = counted.filter((F.col("below") <= F.col("lo")) & (F.col("hi") < F.col("below") + F.col("inside")))
     good = _state(good, dims)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A broadcast table holds at most so many bytes, as estimated from its counted rows and text.
@@ -29,13 +31,38 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
-def detached(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """A reduced table of at most ``most`` rows without its lineage, so that no plan computes it again; a larger one is kept.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def detached(df: DataFrame) -> DataFrame:
+    """A reduced table without its lineage, stored in the shared folder, so that no plan computes it again.
 
     Plans that read a table twice may not recognise what is kept of it.
     """
-    rows = df.head(most + 1)
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else keep(df)
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def listed(df: DataFrame, most: int) -> list[Row] | None:
+    """Rows of a reduced table, once they are counted to be no more than ``most``; nothing is read beyond it.
+
+    For names that become part of a plan, such as a filter of the scan.
+    """
+    [(rows,)] = df.agg(F.count(F.lit(1))).head(1)
+    if rows > most:
+        return None
+    [(values,)] = df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).head(1)
+    return values
 
 
 def spread(df: DataFrame) -> DataFrame:

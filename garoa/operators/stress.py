@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from garoa.errors import GridReadError, NotFoundError
 from garoa.functions import numeric as N
 from garoa.functions import text as X
-from garoa.operators.sizing import broadcast_if_small, detached
+from garoa.operators.sizing import broadcast_if_small, detached, listed
 from garoa.params import StressParams
 
 # The three climate variables.
 VARIABLES = ("pr", "tas", "evspsbl")
 
-#: Rows of a step index, of at most 4 kB each, that are detached from the grid; a larger one is kept.
-INDEX_ROWS = 2_000
 #: Contested series that are named one by one; beyond it all series are looked at.
 MAX_SERIES = 50
 
@@ -72,7 +70,7 @@ def step_index(grid: DataFrame) -> DataFrame:
         F.max("t").alias("fim"),
         F.max(other).alias("outro"),
     )
-    return detached(index, INDEX_ROWS)
+    return detached(index)
 
 
 def _united(index: DataFrame, *more: str) -> DataFrame:
@@ -106,11 +104,11 @@ def keep_first_file(grid: DataFrame, index: DataFrame | None = None) -> DataFram
     finds the time steps, and only the rows of those are shuffled; the rank filter
     cuts copies before the shuffle.
     """
-    series = contested_series(step_index(grid) if index is None else index).head(MAX_SERIES + 1)
-    if not series:
+    series = listed(contested_series(step_index(grid) if index is None else index), MAX_SERIES)
+    if series == []:
         return grid
-    own = F.lit(len(series) > MAX_SERIES)
-    for one in series[:MAX_SERIES]:
+    own = F.lit(series is None)
+    for one in series or []:
         own = own | (F.col("cenario").eqNullSafe(one["cenario"]) & F.col("variavel").eqNullSafe(one["variavel"]))
     step = ["cenario", "variavel", "t"]
     files = grid.filter(own).groupBy(*step).agg(F.min("arquivo").alias("_a"), F.max("arquivo").alias("_b"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garoa.errors import GridReadError
 from garoa.operators import stress
-from garoa.operators.sizing import release
+from garoa.operators.sizing import listed, release
 from garoa.params import StressParams
 from garoa.schemas import WATER_STRESS
 from garoa.sinks import tables
@@ -95,9 +95,10 @@ def water_stress_batch(
     """
     index = stress.step_index(dated(grid))
     checks = scenario_checks(grid, index)
-    good = [r.cenario for r in checks.filter("ok").select("cenario").head(MAX_SCENARIOS + 1)]
-    if len(good) > MAX_SCENARIOS:
+    usable = listed(checks.filter("ok").select("cenario"), MAX_SCENARIOS)
+    if usable is None:
         raise ValueError(f"a batch has more than {MAX_SCENARIOS} scenarios")
+    good = [r.cenario for r in usable]
     named = index.filter(F.col("cenario").isin(good)) if good else index.limit(0)
     kept = grid.filter(F.col("cenario").isin(good)) if good else grid.filter(F.lit(False))
     return stress.water_stress(water_stress_days(kept, cell_map, on, named), params), checks
