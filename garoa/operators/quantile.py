@@ -154,7 +154,8 @@ def group_percentile(df: DataFrame, value: str, dims: list[str], q: float) -> Da
             state = _without(state, parts[-1], dims)
     # Both sides have a row per group; grouping their union treats NULL keys as
     # equal and also serves the case of a single group without keys.
-    merged = sums.select(*dims, "_rows", "n_amostras")
+    unknown = F.lit(None).cast(rows.schema["v"].dataType)
+    merged = sums.select(*dims, "_rows", "n_amostras", unknown.alias("_lo"), unknown.alias("_hi"), none.alias("_f"))
     for part in parts:
         merged = merged.unionByName(part, allowMissingColumns=True)
     merged = merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_rows", "n_amostras", "_lo", "_hi", "_f")])
