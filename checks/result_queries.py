@@ -127,10 +127,11 @@ _aggregated("mean_in_radius", "media", ("cenario", "nome_indice"), _CIRCLE, _NEA
 _aggregated("p95_in_radius", "p95", ("nome_indice",), _CIRCLE, _NEAR)
 
 
-@query("SELECT DISTINCT ano, nome_indice FROM results", "results")
+@query("SELECT ano, nome_indice, CAST(row_number() OVER (ORDER BY ano NULLS FIRST, nome_indice) AS INTEGER) AS n FROM (SELECT DISTINCT ano, nome_indice FROM results)", "results")
 def group_order(spark, sf):
-    """Groups in ascending key order; a test holds the order of the rows."""
-    return Q.aggregate(results(spark, sf), Aggregation("count", ("ano", "nome_indice"))).select("ano", "nome_indice")
+    """Groups numbered in the order in which they come, which is that of their keys."""
+    out = Q.aggregate(results(spark, sf), Aggregation("count", ("ano", "nome_indice")))
+    return R.numbered(out.select("ano", "nome_indice"))
 
 
 # --- vocabularies and counters ----------------------------------------------

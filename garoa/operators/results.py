@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garoa.functions import numeric as N
 from garoa.operators.quantile import group_percentile
-from garoa.operators.sizing import broadcast_if_small, keep
+from garoa.operators.sizing import broadcast_if_small, detached, keep
 from garoa.params import Aggregation, Page, ResultFilter, StressFilter
 
 RESULT_ORDER = ["execucao_id", "ano", "nome_indice", "id"]
@@ -138,6 +138,20 @@ def ordered(df: DataFrame, keys: list[Column | str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def numbered(df: DataFrame, name: str = "n") -> DataFrame:
+    """Rows with their number, from 1, in the order that the frame has.
+
+    A row's number is its place in its partition and the rows of the partitions
+    before, so that only one row per partition meets in a task.
+    """
+    placed = detached(df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    rows = placed.withColumn("_place", place).join(before, "_part")
+    return rows.select(*df.columns, (F.col("_before") + F.col("_place")).cast("int").alias(name))
+
+
 def page(df: DataFrame, order: list[Column | str], p: Page) -> DataFrame:
     """One page of an ordered listing (planned as a top-k, not as a full sort)."""
     return df.orderBy(*order).offset(p.offset).limit(p.limit)

@@ -170,3 +170,19 @@ def test_percentile_of_values_in_one_narrow_bucket(spark):
     even = np.append(1.0 + np.arange(0, 200_000, 2) * 1e-8, np.inf)
     odd = 1.0 + np.arange(1, 200_000, 2) * 1e-8
     assert out == {0: (np.quantile(even, 0.5), 100_001), 1: (pytest.approx(np.quantile(odd, 0.5), abs=1e-12), 100_000)}
+
+
+def test_rows_are_numbered_in_the_order_they_have(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k")).repartition(7)
+    for order, want in ((F.col("k").desc(), lambda k: 1000 - k), (F.col("k").asc(), lambda k: k + 1)):
+        got = R.numbered(rows.orderBy(order)).collect()
+        assert len(got) == 1000 and all(r.n == want(r.k) for r in got)
+    assert R.numbered(rows.filter("k < 0")).count() == 0
+
+
+def test_group_order_numbers_groups(spark, sf_dir):
+    from checks.result_queries import group_order
+
+    got = sorted(group_order(spark, sf_dir).collect(), key=lambda r: r.n)
+    assert [r.n for r in got] == list(range(1, len(got) + 1)) and len(got) > 8
+    assert [(r.ano, r.nome_indice) for r in got] == sorted((r.ano, r.nome_indice) for r in got)
