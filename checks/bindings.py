@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garoa.functions import text as X
+from garoa.operators.sizing import broadcast_if_small, dealt
 from garoa.operators.spatial import ring_edges
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -173,7 +174,7 @@ view(
 
 
 def _grid(daily: DataFrame, where: DataFrame, variavel: str, arquivo: Column, units: str, cenario: str) -> DataFrame:
-    return daily.join(where.drop("municipio_id"), ["iy", "ix"]).select(
+    return daily.join(broadcast_if_small(where.drop("municipio_id")), ["iy", "ix"]).select(
         F.lit(cenario).alias("cenario"), F.lit(variavel).alias("variavel"), arquivo.alias("arquivo"),
         "t", F.year("t").alias("ano"), "iy", "ix", "lat", "lon", "valor",
         F.lit(units).alias("units"), F.lit("standard").alias("calendario"),
@@ -182,11 +183,11 @@ def _grid(daily: DataFrame, where: DataFrame, variavel: str, arquivo: Column, un
 
 def _by_cell_and_day(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
-    cents = F.round(F.col("l_discount") * 100).cast("bigint")
-    return item.groupBy(
-        _div("l_suppkey", 10).alias("iy"), _mod("l_suppkey", 10).alias("ix"),
-        F.col("l_shipdate").alias("t"), *more,
-    ).agg(F.sum("l_quantity").alias("qty"), F.sum(cents).alias("cents"))
+    lines = item.select(
+        _div("l_suppkey", 10).alias("iy"), _mod("l_suppkey", 10).alias("ix"), F.col("l_shipdate").alias("t"), *more,
+        "l_quantity", F.round(F.col("l_discount") * 100).cast("bigint").alias("cents"),
+    )
+    return dealt(lines, "iy", "ix").groupBy("iy", "ix", "t", *more).agg(F.sum("l_quantity").alias("qty"), F.sum("cents").alias("cents"))
 
 
 def grid_pr(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,11 +284,10 @@ view(
 
 def grid_evap(spark: SparkSession, sf: str) -> DataFrame:
     """Evaporation in eighths of mm/day from 0 to 8, from orders, on its own grid and days."""
-    daily = (
-        table(spark, sf, "orders")
-        .groupBy(_div("o_custkey", 50).alias("iy"), _mod("o_custkey", 50).alias("ix"), F.col("o_orderdate").alias("t"))
-        .agg(((F.sum(F.floor("o_totalprice")) % 65) / 8).alias("valor"))
+    bought = table(spark, sf, "orders").select(
+        _div("o_custkey", 50).alias("iy"), _mod("o_custkey", 50).alias("ix"), F.col("o_orderdate").alias("t"), "o_totalprice"
     )
+    daily = dealt(bought, "iy", "ix").groupBy("iy", "ix", "t").agg(((F.sum(F.floor("o_totalprice")) % 65) / 8).alias("valor"))
     return _grid(daily, evap_cells(spark, sf), "evspsbl", F.lit("evspsbl_rcp45_day.nc"), "mm/day", "rcp45")
 
 

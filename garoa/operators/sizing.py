@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A broadcast table holds at most so many bytes, as estimated from its counted rows and text.
 BROADCAST_BYTES = 128 << 20
 _VALUE_BYTES = 16
+#: Rows of one key that one task may take as they are; beyond it they are combined before they move.
+ROWS_OF_KEY = 2_000_000
 
 
 _KEPT: list[DataFrame] = []
@@ -73,6 +75,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt out by a key, for aggregates and windows by this key and more that then need no exchange of their own.
+
+    Rows of a key are not combined before they move. Where counting finds a key
+    with more than ``ROWS_OF_KEY`` rows, the frame is returned as it is, and its
+    aggregates combine first. Rows without a key are not counted: joins drop them.
+    """
+    own = df.filter(F.col(key[0]).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return df.repartition(*key) if own.filter(F.col("_rows") > ROWS_OF_KEY).isEmpty() else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast when a table is measured at no more than ``BROADCAST_BYTES``.
 

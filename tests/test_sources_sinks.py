@@ -304,3 +304,30 @@ def test_cell_map_is_built_once(spark, tmp_path):
         stored = T.cell_map_for(spark, str(tmp_path / "m"), "abc", build)
     T.cell_map_for(spark, str(tmp_path / "m"), "def", build)
     assert len(calls) == 2 and stored.head()["grid_id"] == "abc"
+
+
+def test_bound_grids_move_once(spark, tmp_path, monkeypatch):
+    """Lines are dealt by cell once, for the sums, the join with the cells and the windows; lines of a crowded cell are combined first."""
+    from checks import bindings as B
+    from checks.rain_queries import results as indices
+    from garoa.operators import sizing
+
+    day = (F.lit("1995-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 400).cast("int"))).alias("l_shipdate")
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).cast("bigint")
+    flag = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("id") % 3 + 1).cast("int"))
+    lines = spark.range(6000).select(key.alias("l_suppkey"), day, flag.alias("l_returnflag"), (F.col("id") % 60).cast("double").alias("l_quantity"), F.lit(0.05).alias("l_discount"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    sf, old = str(tmp_path), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        whole = indices(spark, sf)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(iy#") == 1, plan
+        monkeypatch.setattr(sizing, "ROWS_OF_KEY", 1000)
+        combined = indices(spark, sf)
+        assert "REPARTITION_BY_COL" not in combined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, combined.collect())) == sorted(map(repr, whole.collect()))
+        assert B.grid_pr(spark, sf).agg(F.sum("valor")).head()[0] == lines.filter("l_suppkey is not null").agg(F.sum("l_quantity")).head()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
