@@ -220,8 +220,7 @@ def water_stress_from_folders(spark, sf):
     """Folders to a stored run, twice; a scenario without files fails alone."""
     base = scratch(spark, "folders")
     three = {v: f"{base}/{v}" for v in S.VARIABLES}
-    for grid in (B.grid_pr(spark, sf), B.grid_tas(spark, sf), B.grid_evap(spark, sf)):
-        name = grid.select("variavel").first()[0]
+    for name, grid in zip(S.VARIABLES, (B.grid_pr(spark, sf), B.grid_tas(spark, sf), B.grid_evap(spark, sf)), strict=True):
         grid.drop("cenario", "arquivo", "ano").write.parquet(three[name])
     folders = {"rcp45": three, "ssp585": {v: f"{base}/none" for v in S.VARIABLES}}
     for _ in range(2):

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from garoa.errors import GridReadError, NotFoundError
 from garoa.functions import numeric as N
 from garoa.functions import text as X
-from garoa.operators.sizing import broadcast_if_small, detached, listed
+from garoa.operators.sizing import broadcast_if_small, detached
 from garoa.params import StressParams
 
 # The three climate variables.
 VARIABLES = ("pr", "tas", "evspsbl")
 
-#: Contested series that are named one by one; beyond it all series are looked at.
-MAX_SERIES = 50
+_DAY_MICROS = 86_400_000_000
+
+#: Files per time step from which all rows go through one exchange by cell.
+CROWDED = 2
 
 # Which of (pr, tas, evspsbl) a municipality is mapped in -> category.
 DIVERGENCE = {
@@ -52,20 +54,22 @@ def normalize_calendar(grid: DataFrame) -> DataFrame:
 def step_index(grid: DataFrame) -> DataFrame:
     """Which time steps each file has, as bitmaps of days: a small table that one narrow pass makes.
 
-    A row per scenario, variable, file, time of day and 32,768 days, with
-    ``dias``, a bitmap of its days, ``inicio``, ``fim`` and, where the grid knows
-    the files' own scenarios, ``outro`` if that is another one. Bitmaps are built before
-    the shuffle, so a task sends a few rows per file.
+    A row per scenario, variable, file, time of day and 64 days, with
+    ``dias``, the bits of its days, ``inicio``, ``fim`` and, where the grid knows
+    the files' own scenarios, ``outro`` if that is another one. Bits are set before
+    the shuffle, in numbers, so that nothing is sorted and a task sends six rows per
+    file and year.
     """
     day = F.unix_date(F.col("t").cast("date")).cast("bigint")
-    time = (F.hour("t") * 3600 + F.minute("t") * 60 + F.extract(F.lit("SECONDS"), "t")).alias("hora")
+    time = F.pmod(F.unix_micros(F.col("t").cast("timestamp")), F.lit(_DAY_MICROS)).alias("hora")
     own = F.col("cenario_arquivo") if "cenario_arquivo" in grid.columns else F.lit(None).cast("string")
     other = own.isNotNull() & (own != X.UNKNOWN_SCENARIO) & (own != F.col("cenario"))
     steps = grid.filter(F.col("t").isNotNull()).groupBy(
-        "cenario", "variavel", "arquivo", time, F.bitmap_bucket_number(day).alias("bloco")
+        "cenario", "variavel", "arquivo", time, F.shiftright(day, 6).alias("bloco")
     )
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(day, F.lit(64)).cast("int"))
     index = steps.agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("dias"),
+        F.bit_or(bit).alias("dias"),
         F.min("t").alias("inicio"),
         F.max("t").alias("fim"),
         F.max(other).alias("outro"),
@@ -76,14 +80,14 @@ def step_index(grid: DataFrame) -> DataFrame:
 def _united(index: DataFrame, *more: str) -> DataFrame:
     """Days of each scenario and variable: of all its files, and how many days the files have one by one."""
     return index.groupBy("cenario", "variavel", "hora", "bloco").agg(
-        F.bitmap_or_agg("dias").alias("dias"), F.sum(F.bitmap_count("dias")).alias("soma"), *[F.max(c).alias(c) for c in more]
+        F.bit_or("dias").alias("dias"), F.sum(F.bit_count("dias")).alias("soma"), *[F.max(c).alias(c) for c in more]
     )
 
 
 def common_steps(index: DataFrame) -> DataFrame:
     """``cenario, dias_comuns, outro``: time steps that all three variables share, by the bits they have in common."""
     three = _united(index, "outro").groupBy("cenario", "hora", "bloco").agg(
-        F.bitmap_count(F.bitmap_and_agg(F.when(F.col("variavel").isin(*VARIABLES), F.col("dias")))).alias("juntos"),
+        F.bit_count(F.bit_and(F.when(F.col("variavel").isin(*VARIABLES), F.col("dias")))).alias("juntos"),
         F.count_if(F.col("variavel").isin(*VARIABLES)).alias("quantas"),
         F.max("outro").alias("outro"),
     )
@@ -93,26 +97,54 @@ def common_steps(index: DataFrame) -> DataFrame:
 
 def contested_series(index: DataFrame) -> DataFrame:
     """Scenarios and variables of which two files have a time step: the files' days outnumber their union."""
-    return _united(index).filter(F.col("soma") > F.bitmap_count("dias")).select("cenario", "variavel").distinct()
+    return _united(index).filter(F.col("soma") > F.bit_count("dias")).select("cenario", "variavel").distinct()
+
+
+def contested_steps(index: DataFrame) -> DataFrame:
+    """``cenario, variavel, t``: time steps that two files have; a bit's day is counted from ``inicio``, of the same time of day."""
+    bits = index.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter(F.getbit("dias", "_bit") == 1)
+    later = F.col("bloco") * 64 + F.col("_bit") - F.unix_date(F.col("inicio").cast("date"))
+    t = F.col("inicio") + F.make_dt_interval(later.cast("int"))
+    files = bits.groupBy("cenario", "variavel", t.alias("t")).agg(F.count("arquivo").alias("_files"))
+    return files.filter(F.col("_files") > 1).select("cenario", "variavel", "t")
+
+
+def files_per_step(index: DataFrame) -> float:
+    """Files in which a time step of a series lies, on average."""
+    [(held, steps)] = _united(index).agg(F.sum("soma"), F.sum(F.bit_count("dias"))).head(1)
+    return held / steps if steps else 0.0
+
+
+def _first_of_cells(grid: DataFrame, contested: DataFrame, index: DataFrame) -> DataFrame:
+    """Grid rows but the copies of contested steps, by one exchange by cell that a join with a cell map finds in place.
+
+    The files' names stay behind: their ranks, a number each, decide.
+    """
+    rank = F.row_number().over(Window.orderBy("arquivo")).alias("_file")
+    files = broadcast_if_small(index.select("arquivo").filter(F.col("arquivo").isNotNull()).distinct().select("arquivo", rank))
+    marked = grid.join(files, "arquivo", "left").join(contested, ["cenario", "variavel", "t"], "left")
+    copies = Window.partitionBy("variavel", "iy", "ix", "cenario", "t").orderBy(F.coalesce("_file", F.lit(0)))
+    ranked = marked.repartition("variavel", "iy", "ix").withColumn("_n", F.row_number().over(copies))
+    return ranked.filter(F.col("_contested").isNull() | (F.col("_n") == 1)).select(*grid.columns)
 
 
 def keep_first_file(grid: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Where files of one variable overlap in time, keep each cell's row of the first file.
 
     The bitmaps of ``step_index`` tell which series have an overlap. Without
-    any, the grid is returned as it is; else a small aggregate of these series
-    finds the time steps, and only the rows of those are shuffled; the rank filter
-    cuts copies before the shuffle.
+    any, the grid is returned as it is; else they tell the time steps too, and
+    only the rows of those are shuffled; the rank filter
+    cuts copies before the shuffle. Where a step lies in ``CROWDED`` files or more
+    on average, as in a folder whose files hold some cells of every day, most rows
+    are contested, and all are dealt out by cell once.
     """
-    series = listed(contested_series(step_index(grid) if index is None else index), MAX_SERIES)
-    if series == []:
+    index = step_index(grid) if index is None else index
+    if contested_series(index).isEmpty():
         return grid
-    own = F.lit(series is None)
-    for one in series or []:
-        own = own | (F.col("cenario").eqNullSafe(one["cenario"]) & F.col("variavel").eqNullSafe(one["variavel"]))
     step = ["cenario", "variavel", "t"]
-    files = grid.filter(own).groupBy(*step).agg(F.min("arquivo").alias("_a"), F.max("arquivo").alias("_b"))
-    contested = broadcast_if_small(files.filter(F.col("_a") != F.col("_b")).select(*step))
+    contested = broadcast_if_small(contested_steps(index).withColumn("_contested", F.lit(True)))
+    if files_per_step(index) >= CROWDED:
+        return _first_of_cells(grid, contested, index)
     copies = Window.partitionBy("cenario", "variavel", "iy", "ix", "t").orderBy("arquivo")
     firsts = (
         grid.join(contested, step, "left_semi")
@@ -284,6 +316,6 @@ def time_span(grid: DataFrame) -> DataFrame:
     """First and last day and number of time steps of each variable."""
     index = step_index(grid)
     steps = index.groupBy("variavel", "hora", "bloco").agg(
-        F.bitmap_count(F.bitmap_or_agg("dias")).alias("n"), F.min("inicio").alias("inicio"), F.max("fim").alias("fim")
+        F.bit_count(F.bit_or("dias")).alias("n"), F.min("inicio").alias("inicio"), F.max("fim").alias("fim")
     )
     return steps.groupBy("variavel").agg(F.min("inicio").alias("inicio"), F.max("fim").alias("fim"), F.sum("n").alias("n"))

@@ -225,3 +225,59 @@ def test_failed_scenarios_go_before_the_shuffle(spark):
     assert [r.cenario for r in out.collect()] == ["good"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "LeftSemi" not in plan
+
+
+def test_crowded_files_and_few_overlaps_keep_the_same_rows(spark, monkeypatch):
+    """Part files that hold some cells of every day: one exchange by cell serves the rule and the join with the map."""
+    n = 6 * 40 * 3
+    grid = spark.range(n).select(
+        F.lit("a").alias("cenario"), F.when(F.col("id") % 3 == 0, "pr").when(F.col("id") % 3 == 1, "tas").otherwise("evspsbl").alias("variavel"),
+        F.concat(F.lit("f"), F.floor(F.col("id") / 120) * 3 % 5, F.lit(".nc")).alias("arquivo"),
+        (F.lit(datetime(1969, 12, 1, 12, 0, 0, 250000)) + F.make_dt_interval((F.col("id") / 3 % 40).cast("int"))).cast("timestamp_ntz").alias("t"),
+        F.lit(0).alias("iy"), F.floor(F.col("id") / 120).cast("int").alias("ix"), F.col("id").cast("double").alias("valor"),
+    )
+    copies = grid.filter("ix < 2").withColumns({"arquivo": F.lit("a.nc"), "valor": F.lit(-1.0)})
+    own = grid.filter("ix = 5").withColumns({"arquivo": F.lit("z.nc"), "t": F.col("t") + F.expr("INTERVAL 90 DAYS")})
+    unnamed = copies.limit(9).withColumns({"arquivo": F.lit(None).cast("string"), "valor": F.lit(-2.0)})
+    grid = grid.unionByName(copies).unionByName(own).unionByName(own).unionByName(unnamed).persist()
+    index = S.step_index(grid)
+    rows = [tuple(r) for r in grid.collect()]
+    files = {}
+    for r in rows:
+        files.setdefault((r[1], r[3]), set()).add(r[2])
+    crowd = {k for k, v in files.items() if len(v - {None}) > 1}
+    assert {(r.variavel, r.t) for r in S.contested_steps(index).collect()} == crowd and 0 < len(crowd) < len(files)
+    want = [r for r in rows if (r[1], r[3]) not in crowd]
+    first = {}
+    for r in rows:
+        if (r[1], r[3]) in crowd:
+            k = (r[1], r[3], r[4], r[5])
+            first[k] = min(first.get(k, r), r, key=lambda x: x[2] or "")
+    want = sorted(map(repr, want + list(first.values())))
+    assert S.files_per_step(index) > 2
+    for crowded in (2, 1000):
+        monkeypatch.setattr(S, "CROWDED", crowded)
+        assert sorted(repr(tuple(r)) for r in S.keep_first_file(grid, index).collect()) == want
+    monkeypatch.setattr(S, "CROWDED", 2)
+    monkeypatch.setattr(S, "broadcast_if_small", lambda df, *_: df)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        cells = spark.range(6).select(F.explode(F.array(*[F.lit(v) for v in S.VARIABLES])).alias("variavel"), F.floor(F.col("id") / 120).cast("int").alias("iy"), F.col("id").cast("int").alias("ix"), F.col("id").alias("municipio_id"))
+        plan = S.place_in_municipality(S.keep_first_file(grid, index), cells, ("variavel", "iy", "ix"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(variavel#") == 2, plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    grid.unpersist()
+
+
+def test_step_index_sorts_nothing(spark):
+    """Bits are set in numbers by hash aggregates; contested steps come from the index, without another pass over the grid."""
+    days = [f"2000-01-{d:02d}T00:00:00" for d in range(1, 20)]
+    grid = _timed(spark, [("a", v, f"{v}.nc", t) for v in S.VARIABLES for t in days])
+    index = S.step_index(grid)
+    assert dict(index.dtypes)["dias"] == "bigint"
+    for df in (S.common_steps(index), S.contested_series(index), S.contested_steps(index)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
