@@ -118,14 +118,18 @@ def files_per_step(index: DataFrame) -> float:
 def _first_of_cells(grid: DataFrame, contested: DataFrame, index: DataFrame) -> DataFrame:
     """Grid rows but the copies of contested steps, by one exchange by cell that a join with a cell map finds in place.
 
-    The files' names stay behind: their ranks, a number each, decide.
+    The files' names stay behind: their ranks, a number each, decide. A cell's rows
+    lie in the order of steps and files, so that a copy follows a row of its step;
+    the sort compares two integers first.
     """
     rank = F.row_number().over(Window.orderBy("arquivo")).alias("_file")
     files = broadcast_if_small(index.select("arquivo").filter(F.col("arquivo").isNotNull()).distinct().select("arquivo", rank))
     marked = grid.join(files, "arquivo", "left").join(contested, ["cenario", "variavel", "t"], "left")
-    copies = Window.partitionBy("variavel", "iy", "ix", "cenario", "t").orderBy(F.coalesce("_file", F.lit(0)))
-    ranked = marked.repartition("variavel", "iy", "ix").withColumn("_n", F.row_number().over(copies))
-    return ranked.filter(F.col("_contested").isNull() | (F.col("_n") == 1)).select(*grid.columns)
+    cell = ["iy", "ix", "variavel"]
+    order = Window.partitionBy(*cell).orderBy("cenario", "t", F.coalesce("_file", F.lit(0)))
+    dealt = marked.repartition(*cell).withColumns({"_c": F.lag("cenario").over(order), "_t": F.lag("t").over(order)})
+    copy = F.col("_contested").isNotNull() & F.col("_c").eqNullSafe(F.col("cenario")) & F.col("_t").eqNullSafe(F.col("t"))
+    return dealt.filter(~copy).select(*grid.columns)
 
 
 def keep_first_file(grid: DataFrame, index: DataFrame | None = None) -> DataFrame:
